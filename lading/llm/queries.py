@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from lading.llm import (
+    decontaminate,
     mixing,
     quality_rules,
     sharding,
 )
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_shard": sharding.op10_shard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+}
