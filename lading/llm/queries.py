@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from lading.llm import (
     decontaminate,
+    lines,
     mixing,
+    pages,
     quality_rules,
     sharding,
 )
 
 QUERIES = {
+    "op6_extract_pages": pages.op6_extract_pages,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_quality_rules": quality_rules.op8_quality_rules,
