@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once per application."""
+    app = f"ship-{spark.sparkContext.applicationId}"
+    if app not in _local:
+        top = Path(__file__).resolve().parents[1]
+        _local[app] = shutil.make_archive(f"{tempfile.mkdtemp()}/lading", "zip", top.parent, top.name)
+        spark.sparkContext.addPyFile(_local[app])
+
+
 def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends in files that outlive executors."""
     spark = df.sparkSession

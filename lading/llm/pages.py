@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lading.llm.common import ship
+
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -200,6 +202,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns but the html, with ``text`` and ``n_chars``. A null or empty page gives an empty text. Rows keep their
     number; repeated rows give repeated results; columns named ``text`` or ``n_chars`` are replaced."""
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
