@@ -7,11 +7,13 @@ from lading.llm import (
     lines,
     mixing,
     pages,
+    quality_classifier,
     quality_rules,
     sharding,
 )
 
 QUERIES = {
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op6_extract_pages": pages.op6_extract_pages,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
