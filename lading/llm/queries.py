@@ -7,12 +7,14 @@ from lading.llm import (
     lines,
     mixing,
     pages,
+    personal_data,
     quality_classifier,
     quality_rules,
     sharding,
 )
 
 QUERIES = {
+    "op9_personal_data": personal_data.op9_personal_data,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op6_extract_pages": pages.op6_extract_pages,
     "op3_line_dedup": lines.op3_line_dedup,
