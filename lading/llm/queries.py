@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lading.llm import (
     decontaminate,
+    katz,
     lines,
     mixing,
     pages,
@@ -14,6 +15,7 @@ from lading.llm import (
 )
 
 QUERIES = {
+    "op2_lm_scores": katz.op2_lm_scores,
     "op9_personal_data": personal_data.op9_personal_data,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op6_extract_pages": pages.op6_extract_pages,
