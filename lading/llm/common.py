@@ -62,7 +62,7 @@ def spread(*cols: Column | str) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 62) - 1))
 
 
-def n_bits(rows: int, per_slice: int = 20_000, least: int = 4, most: int = 20) -> int:
+def n_bits(rows: int, per_slice: int = 20_000, least: int = 6, most: int = 20) -> int:
     """Bits of a hash that cut ``rows`` into slices of about ``per_slice``."""
     return max(least, min(most, math.ceil(math.log2(max(1, rows / per_slice)))))
 

@@ -6,6 +6,7 @@ from lading.llm import (
     decontaminate,
     katz,
     lines,
+    minhash,
     mixing,
     pages,
     personal_data,
@@ -15,6 +16,7 @@ from lading.llm import (
 )
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_lm_scores": katz.op2_lm_scores,
     "op9_personal_data": personal_data.op9_personal_data,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
