@@ -23,7 +23,7 @@ from lading.llm.common import ship
 
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 1 << 20
-CHUNK_SCHEMA = "chunk long, ids array<long>, lens array<int>, vocab array<long>, tokens array<int>"
+CHUNK_SCHEMA = "chunk long, ids array<long>, marks array<long>, lens array<int>, vocab array<long>, tokens array<int>"
 REPLY_SCHEMA = "chunk long, level int, part int, blob binary"
 #: ASCII other than letters and digits becomes a space, capitals become small.
 ALNUM = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -73,6 +73,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def text_mark(raw: bytes | None) -> int:
+    """What Spark's xxhash64 gives for the text, so that results of chunks can be joined to rows."""
+    x = 42 if raw is None else xxhash.xxh64_intdigest(raw, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alnum: bool = False, end: bool = False) -> DataFrame:
     """Writes the chunks of ``docs`` to a table bucketed by chunk, so that later joins on the chunk move none of it.
 
@@ -84,7 +90,7 @@ def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        words, ids, lens, tokens, n = _Vocabulary(), [], [], [], 0
+        words, ids, marks, lens, tokens, n = _Vocabulary(), [], [], [], [], 0
         words[b"\n"]  # the end is number 0
 
         def row() -> pa.RecordBatch:
@@ -92,11 +98,13 @@ def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             vocab = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in names), np.int64, len(names))
             joined = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
             one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t))
-            return pa.RecordBatch.from_arrays([pa.array([part << 16 | k], pa.int64()), one(ids, pa.int64()), one(lens, pa.int32()), one(vocab, pa.int64()), one(joined, pa.int32())], ["chunk", "ids", "lens", "vocab", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 16 | k], pa.int64()), one(ids, pa.int64()), one(marks, pa.int64()), one(lens, pa.int32()), one(vocab, pa.int64()), one(joined, pa.int32())], ["chunk", "ids", "marks", "lens", "vocab", "tokens"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                text = text.as_py()
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                marks.append(text_mark(raw if text is not None else None))
                 split = (raw.translate(ALNUM) if alnum else raw.lower()).split()
                 t = np.fromiter(map(words.__getitem__, split), np.int32, len(split))
                 if end:
@@ -108,7 +116,7 @@ def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if n >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
                     yield row()
                     k += 1
-                    words, ids, lens, tokens, n = _Vocabulary(), [], [], [], 0
+                    words, ids, marks, lens, tokens, n = _Vocabulary(), [], [], [], [], 0
                     words[b"\n"]
         if ids:
             yield row()

@@ -39,7 +39,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     of documents are judged alike, each with a row of its own; repeated items count once. An empty benchmark leaves all
     documents clean. Only ``doc_id, text`` and ``item_id, text`` are read.
     """
-    rows = docs.select("doc_id", normal_words(F.col("text").cast("string")).alias("norm"))
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), normal_words(F.col("text").cast("string")).alias("norm"))
     rows = rows.withColumn("n_words", F.size(word_list("norm")).cast("long")).withColumn("row", F.monotonically_increasing_id())
     rows = staged(rows, "words")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), normal_words(F.col("text").cast("string")).alias("norm")).filter("norm <> ''").distinct()
@@ -68,9 +68,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     hits = hits.withColumn("spans", spans).withColumn("item_list", F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))"))
     covered = F.expr("aggregate(spans, struct(0 as far, 0L as n), (acc, s) -> struct(greatest(acc.far, s.b) as far, acc.n + greatest(0, s.b - greatest(acc.far, s.a)) as n), acc -> acc.n)")
     hits = hits.select("row", covered.alias("n_hit"), F.col("item_list").alias("items"))
-    out = rows.select("row", "doc_id", "n_words").join(hits, "row", "left")
+    out = rows.select("row", "doc_id", "mark", "n_words").join(hits, "row", "left")
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "mark")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """``docs`` without rows that hold a benchmark window; equal rows are judged alike, so id and text name a verdict."""
+    bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    text = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_mark")), "left_anti")
 
 
 def _index(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def _index(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return contamination(read("documents"), read("benchmark")).drop("items")
+    return contamination(read("documents"), read("benchmark")).drop("items", "mark")
 
 
 OP4_SQL = r"""

@@ -158,6 +158,21 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("_x")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, temper: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that the classifier, trained as in :func:`classify`, rejects."""
+    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).filter("_label is not null")
+    known = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("_id")).select("text", "_label")
+    model = train(with_statistics(known).drop("text"), "_label")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.score(np.stack([statistics(t) for t in batch]), temper) >= threshold if len(batch) else [], dtype=bool)
+
+    return docs.filter(good(F.col("text").cast("string")))
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return classify(read("documents"), read("labels")).select("doc_id", "held_out", "score", "predicted")
