@@ -55,19 +55,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     n_items = items.count()
     items_side = F.broadcast(items) if n_items <= MOST_BROADCAST // 20 else items
     tried = found.join(items_side, "entry").groupBy("row").agg(F.collect_list(F.struct("item", "words", "m", "k", F.col("shift").cast("int").alias("shift"))).alias("tries"))
-    tried = tried.join(rows.select("row", "norm", "n_words"), "row").withColumn("ws", F.split("norm", " ")).drop("norm")
-    starts = F.expr(
-        """transform(tries, t -> struct(t.item as item, t.k as k, transform(
-             filter(if(greatest(0, -t.shift) <= least(t.m - t.k, int(n_words) - t.k - t.shift), sequence(greatest(0, -t.shift), least(t.m - t.k, int(n_words) - t.k - t.shift)), array()),
-                    i -> slice(ws, t.shift + i + 1, t.k) = slice(t.words, i + 1, t.k)),
-             i -> i + t.shift) as at))"""
-    )
-    hits = tried.select("row", F.filter(starts, lambda t: F.size(t["at"]) > 0).alias("hits")).filter("size(hits) > 0")
+    tried = tried.join(rows.select("row", "norm", "n_words"), "row")
+    # the words are split once per row: a lambda's variable is bound, where a column of another select would be pasted in
+    starts = """transform(tries, t -> struct(t.item as item, t.k as k, transform(
+        filter(if(greatest(0, -t.shift) <= least(t.m - t.k, size(ws) - t.k - t.shift), sequence(greatest(0, -t.shift), least(t.m - t.k, size(ws) - t.k - t.shift)), array()),
+               i -> slice(ws, t.shift + i + 1, t.k) = slice(t.words, i + 1, t.k)),
+        i -> i + t.shift) as at))"""
+    hits = tried.select("row", F.expr(f"transform(array(split(norm, ' ')), ws -> filter({starts}, h -> size(h.at) > 0))[0]").alias("hits")).filter("size(hits) > 0")
+    hits = staged(hits, "hits")
     # spans in order of their start; each adds what lies beyond the furthest end so far
-    spans = F.expr("array_sort(array_distinct(flatten(transform(hits, h -> transform(h.at, a -> struct(a as a, a + h.k as b))))))")
-    hits = hits.withColumn("spans", spans).withColumn("item_list", F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))"))
-    covered = F.expr("aggregate(spans, struct(0 as far, 0L as n), (acc, s) -> struct(greatest(acc.far, s.b) as far, acc.n + greatest(0, s.b - greatest(acc.far, s.a)) as n), acc -> acc.n)")
-    hits = hits.select("row", covered.alias("n_hit"), F.col("item_list").alias("items"))
+    spans = "array_sort(array_distinct(flatten(transform(hits, h -> transform(h.at, a -> struct(a as a, a + h.k as b))))))"
+    covered = F.expr(f"aggregate({spans}, struct(0 as far, 0L as n), (acc, s) -> struct(greatest(acc.far, s.b) as far, acc.n + greatest(0, s.b - greatest(acc.far, s.a)) as n), acc -> acc.n)")
+    hits = hits.select("row", covered.alias("n_hit"), F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))").alias("items"))
     out = rows.select("row", "doc_id", "mark", "n_words").join(hits, "row", "left")
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "mark")
