@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from lading.functions import text as tx
 from lading.functions.values import carrier, containers, currency, money
 from lading.operators import resolution, sheets
-from lading.operators.records import summary, sum_known
+from lading.operators.records import sum_known, summary
 from lading.plans.rates import AS_OF, checked_records, raw_rates, raw_sql, table, typed_records
+from lading.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -318,3 +319,16 @@ def bag_union(spark, sf_dir):
 def subjects(spark, sf_dir):
     raw = F.concat(F.lit("Re: "), F.col("o_orderpriority"), F.lit(" // "), F.col("o_orderstatus"))
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), tx.subject(raw).alias("subject"))
+
+
+def job_events(spark, sf_dir) -> DataFrame:
+    """The events table as events of jobs: one job per user and day."""
+    kinds = F.create_map(*[F.lit(x) for pair in (("click", "claim"), ("view", "await_ai"), ("purchase", "ai_completed"), ("signup", "await_import"), ("error", "retry")) for x in pair])
+    e = table(spark, sf_dir, "events")
+    kind = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("review"))
+    return e.select(F.concat_ws("-", "user_id", F.to_date("ts").cast("string")).alias("job_id"), "ts", F.col("event_id").cast("string").alias("event_id"), kind.alias("type"), F.lit("r1").alias("request_id"), F.lit(None).cast("string").alias("error_code"))
+
+
+@query()
+def job_replay(spark, sf_dir):
+    return jobs.replay(job_events(spark, sf_dir))
