@@ -80,7 +80,7 @@ def test_near_duplicates_match_brute_force(docs, none):
 
 def test_many_near_copies_and_a_shared_passage(spark):
     base, passage = prose(1, 200), prose(2, 60)
-    rows = [(i, base.replace(f"w{i % 40} ", f"x{i} ", 1)) for i in range(60)] + [(100 + i, prose(1000 + i, 100) + " " + passage) for i in range(60)]
+    rows = [(i, base.replace(f"w{i % 40} ", f"x{i} ", 1)) for i in range(60)] + [(100 + i, prose(1000 + i, 100) + " " + passage) for i in range(300)]
     got = {r["doc_id"]: r["class_size"] for r in rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert all(got[i] >= 55 for i in range(60)) and all(got[100 + i] == 1 for i in range(300))
 
