@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import hashlib
+import re
 from collections.abc import Iterator
 from email import policy
 
@@ -14,7 +15,17 @@ from pyspark.sql import functions as F
 from lading.sources.delimited import decode
 
 MESSAGE = "path string, message_id string, from_address string, subject string, sent string, body_text string, body_html string, attachments array<struct<name:string,content_type:string,size:bigint,hash:string,content:binary>>"
-MOST_BODY = 1_000_000
+#: Characters that are kept of a message that no parser takes.
+MOST_FALLBACK = 1_000_000
+BASE64_BLOCK = re.compile(r"(?:^[A-Za-z0-9+/]{60,}={0,2}\s*$\n?){4,}", re.M)
+
+
+def fallback_body(text: str) -> str:
+    """Text of a message that no parser takes, without its base64 blocks; a note stands for what is left out."""
+    text = BASE64_BLOCK.sub("[contenido binario MIME omitido]\n", text.replace("\r\n", "\n"))
+    if len(text) > MOST_FALLBACK:
+        text = text[:MOST_FALLBACK] + "\n[contenido MIME truncado; el original se conserva como correo bruto]"
+    return text
 
 
 def parse(raw: bytes) -> dict:
@@ -36,9 +47,9 @@ def parse(raw: bytes) -> dict:
                     text = payload.decode(charset) if charset else decode(payload)
                 except (LookupError, UnicodeDecodeError):
                     text = decode(payload)
-                out[key] = (out[key] + "\n" + text if out[key] else text)[:MOST_BODY]
+                out[key] = out[key] + "\n" + text if out[key] else text
     except Exception:  # a message that no parser takes is kept as text
-        out["body_text"] = decode(raw)[:MOST_BODY]
+        out["body_text"] = fallback_body(decode(raw))
     return {k: str(v) if k in ("message_id", "from_address", "subject", "sent") and v is not None else v for k, v in out.items()}
 
 
