@@ -105,3 +105,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not moved:
             return roots
     raise RuntimeError("components did not settle")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links``: the components of the groups that those join."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    tops = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()).withColumnRenamed("root", "top")
+    moved = roots.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(tops.join(roots.select("node"), "node", "left_anti").select("node", F.col("top").alias("root")))

@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading.llm.chunks import binary_rows, lists, mixed, n_parts, pack, stage_tokens, unpack
-from lading.llm.common import components, ship, staged
+from lading.llm.common import components, joined, ship, staged
 
 #: Of a shingle's hash, these bits tell it apart within a part; parts multiply with the input and so do the pairs of them.
 PART_BITS = 40
-#: Up to so many texts of a bucket are compared with each other; in larger ones each is compared with a hub.
+#: Up to so many texts of a bucket are compared with each other; in larger ones each is compared with a hub, and what that
+#: does not join is finished over rare shingles.
 SMALL_BUCKET = 6
-#: Hubs of a larger bucket: one, then four times as many for the texts still alone, up to this number.
-MOST_HUBS = 16
 
 
 def shingles(tokens: np.ndarray, lens: np.ndarray, vocab: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +91,25 @@ def _document_counts(chunks: DataFrame, width: int, parts: int) -> DataFrame:
     return staged(asked.groupBy("part").applyInArrow(answer, "chunk long, level int, part int, blob binary"), "shingle-counts")
 
 
-def _weighted(chunk: pa.Table, replies: dict[int, bytes], width: int, parts: int, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles, document and TF-IDF weight. Weights are tf * (1 + log(N / df) / log(N + 1)): from one for a shingle that
+def _weighted(chunk: pa.Table, replies: dict[int, bytes], width: int, parts: int, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, document, TF-IDF weight and number of documents. Weights are tf * (1 + log(N / df) / log(N + 1)): from one for a shingle that
     all documents have to two for one of a single document, so that many near copies don't make each other unlike."""
     h, d, tf = _unique(*shingles(lists(chunk.column("tokens"), 0), lists(chunk.column("lens"), 0), lists(chunk.column("vocab"), 0), width))
     both, where, ends = _asked(h, parts)
     df = np.zeros(len(both))
     for p in np.flatnonzero(np.diff(ends)):
         df[ends[p] : ends[p + 1]] = unpack(replies[int(p)])[0]
-    return h, d, tf * (1 + np.log(documents / df[where]) / np.log(documents + 1))
+    return h, d, tf * (1 + np.log(documents / df[where]) / np.log(documents + 1)), df[where]
+
+
+def rare_shingles(h: np.ndarray, w: np.ndarray, df: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles from the rarest on, down to where those left weigh less than ``similarity`` of the text, and the
+    weight from each on. What two texts share weighs ``similarity`` of either at least if they are alike, so that the
+    shingles left cannot hold it all: alike texts share one of these. Those of a single document are left out."""
+    order = np.lexsort((h, df))
+    rest = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
+    taken = (rest >= (similarity - 1e-4) * rest[0]) & (df[order] > 1) if len(h) else np.zeros(0, bool)
+    return h[order][taken], rest[taken]
 
 
 @lru_cache(1)
@@ -163,10 +172,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     row is kept.
 
     Texts of equal words are one text from the start. Texts that agree in the samples of a band meet in a bucket: those of
-    a small bucket are all compared; in larger ones each is compared with a hub (least by a hash that is the same in all
-    bands), those that are unlike it with four more, then sixteen, and those still alone meet again where one more band
-    agrees, until none is left. With 12 bands of 4, a
-    pair at 0.8 meets with a chance of 0.998. Similarities are then computed over all shingles.
+    a small bucket are all compared; in larger ones each is compared with a hub of the band. Texts of larger buckets that
+    are in different groups after that are compared wherever one of their rare shingles agrees, which holds for every
+    pair at ``similarity`` (see ``rare_shingles``), so a large bucket loses no pair. With 12 bands of 4, a pair at 0.8
+    meets with a chance of 0.998. Similarities are then computed over all shingles.
 
     Nulls: null, empty and wordless texts are alike; a null id comes first and gives a null class. Repeated rows are copies.
     An empty table gives an empty result. Words are runs of letters, digits and non-ASCII, in lower case (A-Z).
@@ -181,7 +190,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
         if not chunk.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("row", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("copy", pa.binary()), ("bands", pa.list_(pa.int64())))})
         by = dict(zip(got.column("part").to_pylist(), got.column("blob").to_pylist(), strict=True))
-        h, d, w = _weighted(chunk, by, width, parts, int(n_docs))
+        h, d, w, _ = _weighted(chunk, by, width, parts, int(n_docs))
         ids, lens = chunk.column("ids")[0].as_py(), lists(chunk.column("lens"), 0)
         words = lists(chunk.column("vocab"), 0)[lists(chunk.column("tokens"), 0)]
         ends = np.cumsum(lens)
@@ -206,41 +215,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     signed = staged(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(sign, "row long, id long, mark long, copy binary, bands array<long>"), "signed")
     copies = staged(signed.groupBy("copy").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")), "copies")
     texts = signed.select("row", "bands").join(copies.select(F.col("first.row").alias("row")), "row", "left_semi")
-    left = texts.select("row", F.xxhash64("row").alias("turn"), F.posexplode("bands").alias("i", "key")).withColumn("used", F.array("i")).drop("i")
-    features: DataFrame | None = None
-    linked: DataFrame | None = None
-    hubs = 1
-    while True:
-        buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("turn", "row")).alias("least")).filter("n > 1")
-        members = staged(left.join(buckets, "key").select("key", "row", "turn", "used", "n", F.col("least.row").alias("least")), "members")
-        if not members.limit(1).count():
-            break
-        if features is None:
-            features = _features(chunks, replies, members, width, parts, int(n_docs))
+    left = texts.select("row", F.posexplode("bands").alias("i", "key")).select("key", "row", F.struct(F.xxhash64("row", "i").alias("turn"), "row").alias("turn"))
+    buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min("turn").alias("least")).filter("n > 1")
+    members = staged(left.join(buckets, "key").select("key", "row", "n", F.col("least.row").alias("hub")), "members")
+    roots: DataFrame | None = None
+    if members.limit(1).count():
+        features = _features(chunks, replies, members, width, parts, int(n_docs), similarity)
         small = members.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("row").alias("a"))
         pairs = small.join(small.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
-        is_hub = (F.col("row") == F.col("least")) | (F.pmod("turn", F.ceil(F.col("n") / hubs)) == 0)
-        large = members.filter(F.col("n") > SMALL_BUCKET).withColumn("is_hub", is_hub)
-        hub = large.filter("is_hub").select("key", F.col("row").alias("hub"))
-        met = large.select("key", "row", "is_hub").join(hub, "key").filter("not is_hub or row < hub").select("key", "row", "is_hub", F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b"))
-        pairs = pairs.union(met.select("a", "b")).distinct()
-        if linked is not None:
-            pairs = pairs.join(linked.select("a", "b"), ["a", "b"], "left_anti")
-        found = staged(_compared(pairs, features, similarity), "compared")
-        linked = found if linked is None else linked.union(found)
-        near = met.filter("not is_hub").join(linked.filter("near").select("a", "b"), ["a", "b"]).select("key", "row").distinct()
-        far = large.filter("not is_hub").select("key", "row", "turn", "used").join(near, ["key", "row"], "left_anti")
-        hubs *= 4
-        if hubs > MOST_HUBS:  # those still alone meet again where one more band agrees, in any set of bands once
-            hubs = 1
-            far = far.select("row", "turn", "used").join(texts, "row").withColumn("j", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(bands - 1)), F.col("used"))))
-            far = far.withColumn("used", F.array_sort(F.array_append("used", F.col("j")))).select("row", "turn", "used", F.xxhash64("used", F.transform("used", lambda i: F.get(F.col("bands"), i))).alias("key")).distinct()
-        left = staged(far.select("row", "turn", "used", "key"), "far")
+        large = members.filter(F.col("n") > SMALL_BUCKET)
+        pairs = pairs.union(large.filter("row <> hub").select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b"))).distinct()
+        linked = staged(_compared(pairs, features, similarity), "compared").filter("near")
+        roots = components(linked.select("a", "b"))
+        across = staged(_compared(_across(features, roots, similarity), features, similarity), "finished").filter("near")
+        if across.limit(1).count():
+            roots = joined(roots, across.select("a", "b"))
     first = copies.select("copy", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n")
-    if linked is None:
+    if roots is None:
         classes = first.select("copy", F.col("id").alias("class_id"), F.col("row").alias("keeper"), F.col("n").alias("class_size"))
     else:
-        roots = components(linked.filter("near").select("a", "b"))
         grouped = first.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
         heads = grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("head"), F.sum("n").alias("class_size"))
         classes = grouped.join(heads, "root").select("copy", F.col("head.id").alias("class_id"), F.col("head.row").alias("keeper"), "class_size")
@@ -256,9 +249,11 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     return marked.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
 
 
-def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width: int, parts: int, documents: int) -> DataFrame:
-    """Shingles and weights of the texts in buckets, as ``row, blob``."""
-    wanted = members.select("row").distinct().groupBy(F.shiftright("row", 20).alias("chunk")).agg(F.collect_list((F.col("row") % (1 << 20)).cast("int")).alias("docs"))
+def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width: int, parts: int, documents: int, similarity: float) -> DataFrame:
+    """Shingles and weights of the texts in buckets, as ``row, blob``; those of large buckets also have their ``weight``,
+    their ``rare`` shingles and the weight ``rest`` from each on."""
+    wanted = members.groupBy("row").agg((F.max("n") > SMALL_BUCKET).cast("int").alias("large"))
+    wanted = wanted.groupBy(F.shiftright("row", 20).alias("chunk")).agg(F.collect_list(((F.col("row") % (1 << 20)) * 2 + F.col("large")).cast("int")).alias("docs"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,16 +269,34 @@ def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width:
                 docs = unpack(blob)[0].astype(np.int64)
             else:
                 by[part] = blob
-        out_rows, out = [], []
+        out_rows, out, total, rare, rest = [], [], [], [], []
         if docs is not None:
-            h, d, w = _weighted(chunk, by, width, parts, documents)
-            low, high = np.searchsorted(d, docs), np.searchsorted(d, docs, "right")
+            h, d, w, df = _weighted(chunk, by, width, parts, documents)
+            low, high = np.searchsorted(d, docs >> 1), np.searchsorted(d, docs >> 1, "right")
             for doc, a, z in zip(docs, low, high, strict=True):
-                out_rows.append((key[0].as_py() << 20) + int(doc))
+                out_rows.append((key[0].as_py() << 20) + int(doc >> 1))
                 out.append(pack(np.diff(h[a:z], prepend=np.uint64(0)), w[a:z].astype(np.float32)))
-        return pa.table({"row": pa.array(out_rows, pa.int64()), "blob": pa.array(out, pa.binary())})
-
-    return staged(chunks.groupBy("chunk").cogroup(replies.union(asked).groupBy("chunk")).applyInArrow(take, "row long, blob binary"), "features")
+                first, left = rare_shingles(h[a:z], w[a:z], df[a:z], similarity) if doc & 1 else (None, None)
+                total.append(float(w[a:z].sum()) if doc & 1 else None)
+                rare.append(None if first is None else first.view(np.int64))
+                rest.append(left)
+        return pa.table({"row": pa.array(out_rows, pa.int64()), "blob": pa.array(out, pa.binary()), "weight": pa.array(total, pa.float64()), "rare": pa.array(rare, pa.list_(pa.int64())), "rest": pa.array(rest, pa.list_(pa.float64()))})
+
+    return staged(chunks.groupBy("chunk").cogroup(replies.union(asked).groupBy("chunk")).applyInArrow(take, "row long, blob binary, weight double, rare array<long>, rest array<double>"), "features")
+
+
+def _across(features: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of texts of large buckets that are in different groups and may be alike: they agree in a rare shingle,
+    and what they have from there on weighs enough."""
+    of = features.filter("weight is not null").select("row", "weight", F.explode(F.arrays_zip("rare", "rest")).alias("x"))
+    of = of.join(roots.withColumnRenamed("node", "row"), "row", "left").select(F.col("x.rare").alias("shingle"), "row", F.coalesce("root", "row").alias("root"), "weight", F.col("x.rest").alias("rest"))
+    of = staged(of, "rare-shingles")
+    mixed_groups = of.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    of = staged(of.join(mixed_groups, "shingle"), "shared-shingles")
+    one = of.select("shingle", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("la"))
+    two = of.select("shingle", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("lb"))
+    enough = F.least("la", "lb") >= (similarity / (1 + similarity) - 1e-4) * (F.col("wa") + F.col("wb"))
+    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
 
 
 def _compared(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:

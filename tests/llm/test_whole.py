@@ -1,8 +1,55 @@
 """What large buckets, full shards and awkward texts must not lose."""
 
+import collections
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lading.llm import lines, minhash, personal_data, quality_rules, sharding
 from lading.sources import mail
 
 
+def alike(texts, similarity=0.8, width=5):
+    """Sets of connected texts by all pairs of weighted Jaccard similarities."""
+    bags = [collections.Counter(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) for w in (t.split() for t in texts)]
+    df, n = collections.Counter(k for b in bags for k in b), len(texts)
+    weights = [{k: c * (1 + math.log(n / df[k]) / math.log(n + 1)) for k, c in b.items()} for b in bags]
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(weights[i][k], weights[j][k]) for k in weights[i].keys() & weights[j].keys())
+            if both >= similarity * (sum(weights[i].values()) + sum(weights[j].values()) - both):
+                root = [root[j] if x == root[i] else x for x in root]
+    groups = collections.defaultdict(set)
+    for i, r in enumerate(root):
+        groups[r].add(i)
+    return set(map(frozenset, groups.values()))
+
+
+def classes(spark, texts):
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r["class_id"]].add(r["doc_id"])
+    return set(map(frozenset, groups.values()))
+
+
+@pytest.fixture
+def one_bucket(monkeypatch):
+    """All texts agree in all bands, so every bucket holds all of them."""
+    monkeypatch.setattr(minhash, "samples", lambda h, starts, weight, count: np.zeros((count, len(starts)), np.uint32))
+
+
+def test_chains_in_a_large_bucket(spark, one_bucket):
+    # windows that slide over a text: each is like the next, and unlike those further on
+    texts = [" ".join(f"c{chain}w{i}" for i in range(12 * k, 12 * k + 150)) for chain in range(6) for k in range(8)]
+    want = alike(texts)
+    assert sorted(map(len, want)) == [8] * 6 and classes(spark, texts) == want
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
