@@ -50,6 +50,18 @@ def test_chains_in_a_large_bucket(spark, one_bucket):
     assert sorted(map(len, want)) == [8] * 6 and classes(spark, texts) == want
 
 
+
+def test_pairs_in_a_bucket_of_texts_that_share_a_passage(spark, one_bucket):
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for pair in range(40):
+        own = [f"d{pair}w{i}" for i in range(90)]
+        edited = list(own)
+        edited[random.Random(pair).randrange(10, 80)] = "edited"
+        texts += [" ".join(own + passage), " ".join(edited + passage)]
+    want = alike(texts)
+    assert sorted(map(len, want)) == [2] * 40 and classes(spark, texts) == want
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
