@@ -62,6 +62,37 @@ def test_pairs_in_a_bucket_of_texts_that_share_a_passage(spark, one_bucket):
     assert sorted(map(len, want)) == [2] * 40 and classes(spark, texts) == want
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def left(spark, texts):
+    """The lines that stay, each in a document of its own."""
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"] for r in got if not r["n_removed"]}
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 20, 30])
+def test_lines_with_a_changed_word_or_letter(spark, n):
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    texts = []
+    for i in range(200):
+        own = [word() for _ in range(n)]
+        at, edited = r.randrange(n), list(own)
+        edited[at] = edited[at][:-1] + "z" if i % 2 else word()
+        texts += [" ".join(own), " ".join(edited)]
+    want = [i for i in range(200) if edits(*texts[2 * i : 2 * i + 2]) <= 0.2 * max(map(len, texts[2 * i : 2 * i + 2]))]
+    stay = left(spark, texts)
+    found = sum(2 * i + 1 not in stay for i in want)
+    assert found >= 0.97 * len(want) > 150 and all(2 * i in stay for i in range(200)), (n, found, len(want))
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
