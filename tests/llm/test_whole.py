@@ -93,6 +93,22 @@ def test_lines_with_a_changed_word_or_letter(spark, n):
     assert found >= 0.97 * len(want) > 150 and all(2 * i in stay for i in range(200)), (n, found, len(want))
 
 
+def test_lines_of_large_buckets(spark, monkeypatch):
+    # all lines in one bucket, most of their words equal; each letter stands for a group
+    monkeypatch.setattr(lines, "_samples", lambda worded: worded.select("h1", "len", F.lit(1).cast("long").alias("key")))
+    r = random.Random(4)
+    texts = ["| " * 8 + "".join(chain[max(0, k - 3) :][:40]) for chain in ([r.choice("abcdefghij") for _ in range(70)] for _ in range(8)) for k in range(0, 24, 3)]
+    r.shuffle(texts)
+    root = list(range(len(texts)))
+    norm = [" ".join(t.split()) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if edits(norm[i], norm[j]) <= 0.2 * max(len(norm[i]), len(norm[j])):
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {root.index(x) for x in set(root)}
+    assert 4 <= len(want) < len(texts) / 2 and left(spark, texts) == want
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
