@@ -24,7 +24,7 @@ WIDE = (
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), (":",)),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])00[1-9](?:[ .()-]?[0-9]){8,12}(?![0-9A-Za-z])"), None),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])"), None),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{6,}\"?", re.I), ("AKIA", "ASIA", "=", ":")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{6,}\"?", re.I), ("akia", "asia", "=", ":")),
 )
 # Gazetteers of domain endings, card prefixes and cue words.
 ENDINGS = frozenset("com org net edu gov io info biz co de fr es it uk us ca nl pt pl ch at be eu ru jp cn br mx cr".split())
@@ -118,9 +118,9 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[
     base = base_spans(text)
     around = lambda s, k, e, b: votes(k, text[s:e], text[max(0, s - 48) : s], text[e : e + 1], b)
     found = [(s, k, e, around(s, k, e, True)) for s, k, e in base]
-    more = []
+    more, low = [], text.lower()
     for name, pattern, needs in WIDE:
-        if needs is None or any(x in text for x in needs):
+        if needs is None or any(x in low for x in needs):  # in lower case, as the patterns take any case
             k = KINDS.index(name)
             more += [(m.start(), k, m.end()) for m in pattern.finditer(text)]
     taken = [(s, e) for s, _, e in base]

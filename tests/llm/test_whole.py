@@ -109,6 +109,11 @@ def test_lines_of_large_buckets(spark, monkeypatch):
     assert 4 <= len(want) < len(texts) / 2 and left(spark, texts) == want
 
 
+@pytest.mark.parametrize("text", ["JOHN [AT] EXAMPLE [DOT] COM", "John (At) Example (Dot) Com", "john {aT} example.com"])
+def test_written_out_addresses_in_any_case(text):
+    assert [text[s:e] for s, _, e, _ in personal_data.find(text)[1]] == [text]
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
