@@ -11,9 +11,9 @@ SYMBOLS = "#*$%&|<>"
 
 
 def rule_counts(docs: DataFrame, window: int = 8) -> DataFrame:
-    """``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of whole texts, row by row.
+    """``doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` of whole texts, row by row.
 
-    All counts are array and string expressions of the row, so nothing is shuffled. Windows get a hash built from hashes
+    ``n_lines`` are the lines that hold a word. All counts are array and string expressions of the row, so nothing is shuffled. Windows get a hash built from hashes
     of halves; a text without equal hashes stops there, others sort theirs once. Nulls: a null text counts as empty, a
     null source as a host of its own. Repeated rows give repeated results.
     """
@@ -26,7 +26,7 @@ def rule_counts(docs: DataFrame, window: int = 8) -> DataFrame:
     base = base.withColumn("n_symbols", symbols.cast("long"))
     base = base.withColumn("word_chars", F.length(F.regexp_replace("text", SPACE, "")).cast("long"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    base = base.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    base = base.withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     base = base.withColumn("h0", F.transform("w", lambda x: F.xxhash64(x))).drop("w", "_lines", "text")
     step, name = 1, "h0"
     while step < window:
@@ -38,7 +38,7 @@ def rule_counts(docs: DataFrame, window: int = 8) -> DataFrame:
     base = base.withColumn("_s", F.expr("if(size(array_distinct(h)) = size(h), array(), array_sort(transform(h, (x, i) -> struct(x, i))))"))
     base = base.withColumn("_p", F.expr("array_sort(transform(filter(_s, (s, k) -> (k > 0 and _s[greatest(k - 1, 0)].x = s.x) or (k < size(_s) - 1 and _s[least(k + 1, size(_s) - 1)].x = s.x)), s -> s.i))"))
     covered = F.expr(f"aggregate(transform(_p, (p, k) -> if(k = size(_p) - 1, {window}, least({window}, _p[least(k + 1, size(_p) - 1)] - p))), 0L, (a, x) -> a + x)")
-    return base.withColumn("n_repeat_words", covered.cast("long")).select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return base.withColumn("n_repeat_words", covered.cast("long")).select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def host_rules(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 30, most_symbol_share: float = 0.1, most_dup_line_share: float = 0.3, host_limit: float = 0.5) -> DataFrame:
@@ -53,7 +53,7 @@ def host_rules(docs: DataFrame, least_words: int = 20, most_repeat_percent: int
     counts = rule_counts(docs)
     lines = F.col("n_dup_lines")
     counts = counts.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")))
-    failed = F.col("base_failed") | (F.col("n_symbols") > most_symbol_share * F.col("word_chars")) | (lines > most_dup_line_share * F.col("n_words"))
+    failed = F.col("base_failed") | (F.col("n_symbols") > most_symbol_share * F.col("word_chars")) | (lines > most_dup_line_share * F.col("n_lines"))
     counts = staged(counts.withColumn("failed", failed).withColumn("host_key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("null"))), "rule-counts")
     hosts = counts.groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("bad")).withColumn("rate", F.col("bad") / F.col("n"))
     prior = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum(F.col("n") * F.col("rate") * F.col("rate")).alias("nr2"), F.sum(F.lit(1.0) / F.col("n")).alias("inv")).first()

@@ -114,6 +114,15 @@ def test_written_out_addresses_in_any_case(text):
     assert [text[s:e] for s, _, e, _ in personal_data.find(text)[1]] == [text]
 
 
+def test_repeated_lines_are_a_share_of_lines(spark):
+    r = random.Random(1)
+    page = lambda: "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(10)) + "\nread more about us" for _ in range(20))
+    docs = [(i, page(), "boilerplate") for i in range(30)] + [(100 + i, page().replace("read more about us\n", ""), "fine") for i in range(30)]
+    got = {r["doc_id"]: r for r in quality_rules.host_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert (got[0]["n_lines"], got[0]["n_dup_lines"], got[0]["base_failed"]) == (40, 19, False)
+    assert not any(got[i]["kept"] for i in range(30)) and all(got[100 + i]["kept"] for i in range(30))
+
+
 def test_long_mail_bodies_are_whole(monkeypatch):
     rows = "rate 1 USD\n" * 150_000
     assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
