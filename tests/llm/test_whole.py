@@ -109,6 +109,28 @@ def test_lines_of_large_buckets(spark, monkeypatch):
     assert 4 <= len(want) < len(texts) / 2 and left(spark, texts) == want
 
 
+def sharded(spark, texts):
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    where, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        where[texts[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= 1.02 * sum(sizes.values()) / 16
+    return where
+
+
+def test_a_third_of_the_rows_in_few_shards(spark):
+    texts = ["h" * 40] * 800 + [f"pair {i // 2:035d}" for i in range(400)] + [f"alone {i:034d}" for i in range(1200)]
+    where = sharded(spark, texts)
+    assert len(where["h" * 40]) == 6 and all(len(s) == 1 for t, s in where.items() if t[0] != "h")
+
+
+def test_groups_stay_whole_where_almost_all_rows_are_linked(spark):
+    texts = [f"copy {i // (2 + i % 2):035d}" for i in range(3920)] + [f"alone {i:034d}" for i in range(80)]
+    assert all(len(s) == 1 for s in sharded(spark, texts).values())
+
+
 @pytest.mark.parametrize("text", ["JOHN [AT] EXAMPLE [DOT] COM", "John (At) Example (Dot) Com", "john {aT} example.com"])
 def test_written_out_addresses_in_any_case(text):
     assert [text[s:e] for s, _, e, _ in personal_data.find(text)[1]] == [text]
