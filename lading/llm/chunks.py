@@ -8,7 +8,6 @@ a frequent key weighs one entry per chunk, and each direction moves a few bytes
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import ship
+from lading.llm.common import saved, ship
 
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 1 << 20
@@ -121,11 +120,8 @@ def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if ids:
             yield row()
 
-    table = f"lading_tokens_{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, CHUNK_SCHEMA)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").saveAsTable(table)
-    return spark.read.table(table)
+    return saved(rows, "tokens", "chunk")
 
 
 def n_parts(tokens: int, per_part: int) -> int:

@@ -6,7 +6,8 @@ import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +42,54 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(_local[app])
 
 
-def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends in files that outlive executors."""
+class Scratch:
+    """Paths and tables that work inside a ``scratch`` block has written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` to a table that outlives this block; an enclosing block deletes it at its own end."""
+        return _written(df, name, _blocks[-2] if len(_blocks) > 1 else None)
+
+    def clear(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths, self.tables = [], []
+
+
+_blocks: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Everything staged inside the block is deleted at its end, but for what went through ``result``; shuffle files of its
+    jobs go as well. What the block returns must not read anything else that it has staged."""
+    _blocks.append(Scratch(spark))
+    try:
+        yield _blocks[-1]
+    finally:
+        _blocks.pop().clear()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now; it waits for a collection on the driver."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, name: str, block: Scratch | None, partition_by: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lading/{name}-{uuid.uuid4().hex}"
+    if block:
+        block.paths.append(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     schema = df.schema
     if partition_by:  # columns of the path come last when read
@@ -52,6 +97,33 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends in files that outlive executors. Inside a
+    ``scratch`` block they are deleted at its end."""
+    return _written(df, name, _blocks[-1] if _blocks else None, partition_by)
+
+
+def saved(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``staged``, as a table bucketed by ``column``: later joins on it move none of its rows."""
+    spark = df.sparkSession
+    table = f"lading_{name}_{uuid.uuid4().hex}"
+    if _blocks:
+        _blocks[-1].tables.append(table)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, column).option("compression", "zstd").saveAsTable(table)
+    return spark.read.table(table)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -93,6 +165,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round moves each node to the least root among its neighbours and then to the root of that root, so long chains
     halve. All steps are joins and grouped minima, whose partial results keep a hub with many links from one task.
     """
+    with scratch(edges.sparkSession) as block:
+        return block.result(_components(edges, most_rounds), "components")
+
+
+def _components(edges: DataFrame, most_rounds: int) -> DataFrame:
     both = staged(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
     roots = staged(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "roots")
     for _ in range(most_rounds):

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import staged
+from lading.llm.common import fresh, release, scratch, staged
 
 #: Everything between words: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -39,6 +39,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     of documents are judged alike, each with a row of its own; repeated items count once. An empty benchmark leaves all
     documents clean. Only ``doc_id, text`` and ``item_id, text`` are read.
     """
+    with scratch(docs.sparkSession) as block:
+        return block.result(_contamination(docs, benchmark, window), "contamination")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), normal_words(F.col("text").cast("string")).alias("norm"))
     rows = rows.withColumn("n_words", F.size(word_list("norm")).cast("long")).withColumn("row", F.monotonically_increasing_id())
     rows = staged(rows, "words")
@@ -63,6 +68,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         i -> i + t.shift) as at))"""
     hits = tried.select("row", F.expr(f"transform(array(split(norm, ' ')), ws -> filter({starts}, h -> size(h.at) > 0))[0]").alias("hits")).filter("size(hits) > 0")
     hits = staged(hits, "hits")
+    release(docs.sparkSession)
     # spans in order of their start; each adds what lies beyond the furthest end so far
     spans = "array_sort(array_distinct(flatten(transform(hits, h -> transform(h.at, a -> struct(a as a, a + h.k as b))))))"
     covered = F.expr(f"aggregate({spans}, struct(0 as far, 0L as n), (acc, s) -> struct(greatest(acc.far, s.b) as far, acc.n + greatest(0, s.b - greatest(acc.far, s.a)) as n), acc -> acc.n)")
@@ -73,10 +79,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """``docs`` without rows that hold a benchmark window; equal rows are judged alike, so id and text name a verdict."""
-    bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    text = F.xxhash64(docs["text"].cast("string"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_mark")), "left_anti")
+    """``docs`` without rows that hold a benchmark window; equal rows are judged alike, so id and text name a verdict. A null
+    text holds none, an empty table stays empty, and other columns pass through whatever they are called."""
+    id_, mark = fresh(docs, "_id", "_mark")
+    bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"].cast("string")) == bad[mark]), "left_anti")
 
 
 def _index(rows: DataFrame, items: DataFrame) -> DataFrame:

@@ -8,17 +8,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lading.llm.chunks import binary_rows, lists, mixed, n_parts, pack, stage_tokens, unpack
-from lading.llm.common import components, joined, ship, staged
+from lading.llm.common import components, fresh, joined, release, scratch, ship, staged
 
 #: Of a shingle's hash, these bits tell it apart within a part; parts multiply with the input and so do the pairs of them.
 PART_BITS = 40
-#: Up to so many texts of a bucket are compared with each other; in larger ones each is compared with a hub, and what that
-#: does not join is finished over rare shingles.
+#: Up to so many texts of a bucket are compared with each other; in larger ones each is compared with a hub, then within
+#: parts of the bucket, and what that does not join is finished over rare shingles.
 SMALL_BUCKET = 6
+#: A sketch holds 4 bits of each sample in words of 64. Where fewer than this share of samples agree in them, two texts are
+#: not alike: at a similarity of 0.8, of 48 samples 39 agree on average with a deviation of 2.7.
+LEAST_AGREEING = 7 / 12
+NIBBLES = 0x1111111111111111
 
 
 def shingles(tokens: np.ndarray, lens: np.ndarray, vocab: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,23 +176,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     row is kept.
 
     Texts of equal words are one text from the start. Texts that agree in the samples of a band meet in a bucket: those of
-    a small bucket are all compared; in larger ones each is compared with a hub of the band. Texts of larger buckets that
-    are in different groups after that are compared wherever one of their rare shingles agrees, which holds for every
-    pair at ``similarity`` (see ``rare_shingles``), so a large bucket loses no pair. With 12 bands of 4, a pair at 0.8
-    meets with a chance of 0.998. Similarities are then computed over all shingles.
+    a small bucket are all compared; in larger ones each is compared with a hub of the band, then, where groups are still
+    apart, within parts of the bucket by further samples. Texts of larger buckets that are in different groups after that
+    are compared wherever one of their rare shingles agrees, which holds for every pair at ``similarity`` (see
+    ``rare_shingles``), so a large bucket loses no pair but those whose sketches differ (see ``LEAST_AGREEING``; a chance
+    of 1e-4 at 0.8). With 12 bands of 4, a pair at 0.8 meets with a chance of 0.998. Similarities are then computed over all shingles.
 
     Nulls: null, empty and wordless texts are alike; a null id comes first and gives a null class. Repeated rows are copies.
     An empty table gives an empty result. Words are runs of letters, digits and non-ASCII, in lower case (A-Z).
     """
-    ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as block:
+        return block.result(_near_duplicates(docs, similarity, width, bands, rows, id_col, text_col, per_part), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, width: int, bands: int, rows: int, id_col: str, text_col: str, per_part: int) -> DataFrame:
+    spark = docs.sparkSession
+    ship(spark)
     chunks = stage_tokens(docs, id_col, text_col, alnum=True)
     size, n_docs = chunks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     parts = min(1 << (63 - PART_BITS), n_parts(int(size), per_part))
     replies = _document_counts(chunks, width, parts)
+    release(spark)
 
     def sign(key: tuple, chunk: pa.Table, got: pa.Table) -> pa.Table:
         if not chunk.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("row", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("copy", pa.binary()), ("bands", pa.list_(pa.int64())))})
+            return pa.table({k: pa.array([], t) for k, t in (("row", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("copy", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())))})
         by = dict(zip(got.column("part").to_pylist(), got.column("blob").to_pylist(), strict=True))
         h, d, w, _ = _weighted(chunk, by, width, parts, int(n_docs))
         ids, lens = chunk.column("ids")[0].as_py(), lists(chunk.column("lens"), 0)
@@ -209,27 +221,35 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
             for doc, x in zip(d[starts], of.view(np.int64), strict=True):
                 keys[doc].append(int(x))
         keys = [keys[i] for i in first_of]
+        drawn = sketches(got_samples)
+        sketch: list[list[int]] = [[] for _ in ids]
+        for doc, x in zip(d[starts], drawn, strict=True):
+            sketch[doc] = x
+        sketch = [sketch[i] for i in first_of]
         row = (key[0].as_py() << 20) + np.arange(len(ids))
-        return pa.table({"row": pa.array(row, pa.int64()), "id": pa.array(ids, pa.int64()), "mark": chunk.column("marks")[0].values, "copy": pa.array(copy, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+        return pa.table({"row": pa.array(row, pa.int64()), "id": pa.array(ids, pa.int64()), "mark": chunk.column("marks")[0].values, "copy": pa.array(copy, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64()))})
 
-    signed = staged(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(sign, "row long, id long, mark long, copy binary, bands array<long>"), "signed")
+    signed = staged(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(sign, "row long, id long, mark long, copy binary, bands array<long>, sketch array<long>"), "signed")
+    release(spark)
     copies = staged(signed.groupBy("copy").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")), "copies")
     texts = signed.select("row", "bands").join(copies.select(F.col("first.row").alias("row")), "row", "left_semi")
-    left = texts.select("row", F.posexplode("bands").alias("i", "key")).select("key", "row", F.struct(F.xxhash64("row", "i").alias("turn"), "row").alias("turn"))
+    left = texts.select("row", F.posexplode("bands").alias("i", "key")).select("key", "row", "i", F.struct(F.xxhash64("row", "i").alias("turn"), "row").alias("turn"))
     buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.min("turn").alias("least")).filter("n > 1")
-    members = staged(left.join(buckets, "key").select("key", "row", "n", F.col("least.row").alias("hub")), "members")
+    members = staged(left.join(buckets, "key").select("key", "row", "i", "n", F.col("least.row").alias("hub")), "members")
     roots: DataFrame | None = None
     if members.limit(1).count():
         features = _features(chunks, replies, members, width, parts, int(n_docs), similarity)
+        release(spark)
         small = members.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("row").alias("a"))
         pairs = small.join(small.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
         large = members.filter(F.col("n") > SMALL_BUCKET)
         pairs = pairs.union(large.filter("row <> hub").select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b"))).distinct()
-        linked = staged(_compared(pairs, features, similarity), "compared").filter("near")
-        roots = components(linked.select("a", "b"))
-        across = staged(_compared(_across(features, roots, similarity), features, similarity), "finished").filter("near")
-        if across.limit(1).count():
-            roots = joined(roots, across.select("a", "b"))
+        roots = components(staged(_compared(pairs, features, similarity), "compared").filter("near").select("a", "b"))
+        sketched = signed.select("row", "sketch")
+        for more in (lambda r: _within(large, sketched, r, bands * rows), lambda r: _across(features, sketched, r, similarity, bands * rows)):
+            found = staged(_compared(more(roots), features, similarity), "compared").filter("near")
+            if found.limit(1).count():
+                roots = joined(roots, found.select("a", "b"))
     first = copies.select("copy", F.col("first.id").alias("id"), F.col("first.row").alias("row"), "n")
     if roots is None:
         classes = first.select("copy", F.col("id").alias("class_id"), F.col("row").alias("keeper"), F.col("n").alias("class_size"))
@@ -240,13 +260,53 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     return signed.join(classes, "copy").select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("row") == F.col("keeper")).alias("kept"), "row", "mark")
 
 
+def sketches(drawn: np.ndarray) -> list[list[int]]:
+    """4 bits of each sample (rows of ``drawn``) for every text, 16 to a number."""
+    bits = mixed(drawn.ravel()).reshape(drawn.shape) >> np.uint64(60)
+    out = np.zeros((-(-len(drawn) // 16), drawn.shape[1]), np.uint64)
+    for k, b in enumerate(bits):
+        out[k // 16] |= b << np.uint64(4 * (k % 16))
+    return out.view(np.int64).T.tolist()
+
+
+def _agree(a: str, b: str, count: int) -> Column:
+    """Whether enough of the 4-bit samples of two sketches are equal."""
+    unlike = F.lit(0)
+    for k in range(-(-count // 16)):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+        unlike = unlike + F.bit_count(any_bit.bitwiseAND(F.lit(NIBBLES)))
+    return unlike <= int(count * (1 - LEAST_AGREEING))
+
+
+def _within(large: DataFrame, sketched: DataFrame, roots: DataFrame, count: int) -> DataFrame:
+    """Pairs ``a, b`` of texts of a large bucket that are in different groups: in each of eight parts of the bucket by two
+    further samples, all with each other or, where a part is large too, with one of them. At most eight rows a member."""
+    words = -(-count // 16)
+    of = large.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "i", F.coalesce("root", "row").alias("root"))
+    open_ = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    of = of.join(open_, "key").join(sketched, "row")
+    own = F.get("sketch", ((F.col("i") / 4).cast("int") + 1) % words)  # samples of other bands than the bucket's
+    split = F.array(*[F.xxhash64("key", F.lit(j), F.shiftright(own, 8 * j).bitwiseAND(F.lit(255))) for j in range(8)])
+    of = staged(of.select("row", "root", "sketch", F.explode(split).alias("part")), "bucket-parts")
+    sizes = of.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", "part").alias("turn"), "row", "root", "sketch")).alias("hub")).filter("n > 1")
+    of = staged(of.join(sizes, "part"), "bucket-part-members")
+    small = of.filter(F.col("n") <= 2 * SMALL_BUCKET)
+    one = small.select("part", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    two = small.select("part", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    pairs = one.join(two, "part").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _agree("sa", "sb", count)).select("a", "b")
+    hubs = of.filter(F.col("n") > 2 * SMALL_BUCKET).filter("root <> hub.root").withColumn("hs", F.col("hub.sketch")).filter(_agree("sketch", "hs", count))
+    return pairs.union(hubs.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"))).distinct()
+
+
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with one row of each group. Rows of equal doc_id and text are copies of which any one stays."""
     found = near_duplicates(docs, **kw)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    kept = kept.withColumn("_id", F.coalesce("_id", F.lit(-(1 << 63))))
-    return marked.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    id_, mark = fresh(docs, "_id", "_mark")
+    none = F.lit(-(1 << 63))
+    kept = found.filter("kept").select(F.coalesce("doc_id", none).alias(id_), F.col("mark").alias(mark))
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), none))
+    return marked.join(kept, [id_, mark], "left_semi").dropDuplicates([id_, mark]).select(*docs.columns)
 
 
 def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width: int, parts: int, documents: int, similarity: float) -> DataFrame:
@@ -285,18 +345,19 @@ def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width:
     return staged(chunks.groupBy("chunk").cogroup(replies.union(asked).groupBy("chunk")).applyInArrow(take, "row long, blob binary, weight double, rare array<long>, rest array<double>"), "features")
 
 
-def _across(features: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _across(features: DataFrame, sketched: DataFrame, roots: DataFrame, similarity: float, count: int) -> DataFrame:
     """Pairs ``a, b`` of texts of large buckets that are in different groups and may be alike: they agree in a rare shingle,
-    and what they have from there on weighs enough."""
-    of = features.filter("weight is not null").select("row", "weight", F.explode(F.arrays_zip("rare", "rest")).alias("x"))
-    of = of.join(roots.withColumnRenamed("node", "row"), "row", "left").select(F.col("x.rare").alias("shingle"), "row", F.coalesce("root", "row").alias("root"), "weight", F.col("x.rest").alias("rest"))
+    what they have from there on weighs enough, their weights are near each other and so are their sketches."""
+    of = features.filter("weight is not null").join(sketched, "row").select("row", "weight", "sketch", F.explode(F.arrays_zip("rare", "rest")).alias("x"))
+    of = of.join(roots.withColumnRenamed("node", "row"), "row", "left").select(F.col("x.rare").alias("shingle"), "row", F.coalesce("root", "row").alias("root"), "weight", F.col("x.rest").alias("rest"), "sketch")
     of = staged(of, "rare-shingles")
     mixed_groups = of.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     of = staged(of.join(mixed_groups, "shingle"), "shared-shingles")
-    one = of.select("shingle", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("la"))
-    two = of.select("shingle", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("lb"))
+    one = of.select("shingle", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("la"), F.col("sketch").alias("sa"))
+    two = of.select("shingle", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("lb"), F.col("sketch").alias("sb"))
     enough = F.least("la", "lb") >= (similarity / (1 + similarity) - 1e-4) * (F.col("wa") + F.col("wb"))
-    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
+    near = F.least("wa", "wb") >= (similarity - 1e-4) * F.greatest("wa", "wb")
+    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough & near & _agree("sa", "sb", count)).select("a", "b").distinct()
 
 
 def _compared(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:

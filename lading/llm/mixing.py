@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lading.llm.common import n_bits, n_words, prefix_sums, spread, staged
+from lading.llm.common import fresh, n_bits, n_words, prefix_sums, scratch, spread, staged
 
 #: Fractional part of the golden ratio times 2**32, for points in whole numbers.
 GOLDEN = 2654435769
@@ -51,7 +51,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     Nulls: a null text has size 0, a null source is a source of its own. Repeated rows are documents of their own; ties in
     the shuffle go by doc_id. Empty input gives an empty result. Only ``doc_id, text, source`` are read.
     """
-    size = n_words(F.col("text")) if size is None else size
+    with scratch(docs.sparkSession) as made:
+        return made.result(_mix(docs, n_words(F.col("text")) if size is None else size, weights, most_epochs, block, seed), "mix")
+
+
+def _mix(docs: DataFrame, size: Column, weights: tuple[float, ...], most_epochs: float, block: int, seed: int) -> DataFrame:
     rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.cast("long").alias("size")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, most_epochs)
@@ -109,10 +113,19 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The documents with each repeated as often as the mix takes it, rounded; those it takes less than half of go."""
-    seen = docs.withColumn("_words", n_words(F.col("text")))
-    took = mix(seen, size=F.col("_words"), **kw).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("_n"))
-    took = took.groupBy("_id").agg(F.max("_n").alias("_n"))
-    many = docs.join(took, docs["doc_id"].eqNullSafe(took["_id"])).filter("_n > 0")
-    return many.withColumn("_i", F.explode(F.expr("sequence(1, _n)"))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
+    """The documents with each repeated as often as the mix takes it.
+
+    A document taken ``taken / size`` times, say 1.3, is there once and, by a hash of its id and text, a second time with a
+    chance of 0.3, so that each source keeps the share of words that the mix gave it. Documents without words stay once.
+    Rows of equal doc_id and size share what the mix took of them together. Nulls: a null text has no words, a null doc_id
+    is an id like others. An empty table stays empty; other columns pass through whatever they are called.
+    """
+    id_, size, share, turn = fresh(docs, "_id", "_words", "_share", "_turn")
+    seen = docs.select("doc_id", "source", n_words(F.col("text")).alias(size))
+    took = mix(seen, size=F.col(size), seed=seed, **kw).groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size))
+    took = took.agg(F.when(F.col(size) > 0, F.sum("taken") / F.sum("size")).otherwise(1.0).alias(share))
+    many = docs.join(took, docs["doc_id"].eqNullSafe(took[id_]) & (n_words(docs["text"]) == took[size]))
+    chance = spread(F.lit(seed + 3), "doc_id", F.col("text").cast("string")) / F.lit(float(1 << 62))
+    many = many.withColumn(turn, F.floor(F.col(share)) + F.when(chance < F.col(share) - F.floor(share), 1).otherwise(0)).filter(F.col(turn) > 0)
+    return many.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn).cast("int")))).select(*docs.columns)

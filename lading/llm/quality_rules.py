@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import SPACE, staged
+from lading.llm.common import SPACE, scratch, staged
 
 SYMBOLS = "#*$%&|<>"
 

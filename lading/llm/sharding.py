@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lading.llm.common import n_bits, prefix_sums, spread, staged
+from lading.llm.common import n_bits, prefix_sums, scratch, spread, staged
 
 #: Groups above a shard's share divided by this are placed one by one, as there are at most so many a shard.
 PIECES = 64
@@ -28,6 +28,11 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     table gives an empty result. Only ``doc_id`` and ``text`` are read. Groups never come together in a task: their
     bytes by shard are grouped sums, moves and slots are running sums over hash slices.
     """
+    with scratch(docs.sparkSession) as block:
+        return block.result(_shard(docs, shards, seed), "shards")
+
+
+def _shard(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("gid"))
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("place", spread(F.lit(seed), "doc_id", "row")), "shard-rows")
