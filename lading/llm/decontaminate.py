@@ -11,6 +11,8 @@ from lading.llm.common import fresh, release, scratch, staged
 
 #: Everything between words: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of each window that must occur at their places before the window is compared as a whole.
+PREFIX = 3
 #: Vocabulary of the benchmark up to which words are counted by a broadcast join; beyond it, all words are counted first.
 MOST_BROADCAST = 200_000
 
@@ -30,10 +32,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the ``items`` themselves, per document.
 
     Every window of ``window`` item words (an item of fewer words is one window) must occur word by word. All of its
-    words must occur then, so the join needs its rarest word alone: words are ordered by how often all documents hold
-    them, and the index has the item positions that are rarest in some window. An occurrence in a document fixes the
-    shift between item and document; shifts under which no window lies inside the document go. Each remaining
-    (document, item, shift) is compared once, position by position.
+    words must occur then, so the join needs its ``PREFIX`` rarest words alone: words are ordered by how often all documents
+    hold them, and the index has the item positions that are among the rarest of some window. An occurrence in a document
+    fixes the shift between item and document; shifts under which no window lies inside the document go, and so do those
+    under which fewer than ``PREFIX`` positions agree. Each remaining (document, item, shift) is compared once, position by
+    position; only texts that have one are moved.
 
     Nulls: a null text has no words and a null item no windows; a null item_id counts as an empty string. Repeated rows
     of documents are judged alike, each with a row of its own; repeated items count once. An empty benchmark leaves all
@@ -56,11 +59,14 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFr
     words = rows.filter("n_words > 0").select("row", "n_words", F.posexplode(F.split("norm", " ")).alias("pos", "word"))
     found = words.join(probe, "word").withColumn("shift", F.col("pos") - F.col("at"))
     inside = (F.greatest(F.lit(0), -F.col("shift")) <= F.least(F.col("m") - F.col("k"), F.col("n_words") - F.col("k") - F.col("shift"))) & (F.col("n_words") >= F.col("k"))
-    found = staged(found.filter(inside).select("row", "entry", "shift").distinct(), "found")
+    found = found.filter(inside).groupBy("row", "entry", "shift").agg(F.count("*").alias("agreeing"), F.first("k").alias("k"))
+    found = staged(found.filter(F.col("agreeing") >= F.least(F.lit(PREFIX), F.col("k"))).select("row", "entry", "shift"), "found")
     n_items = items.count()
     items_side = F.broadcast(items) if n_items <= MOST_BROADCAST // 20 else items
     tried = found.join(items_side, "entry").groupBy("row").agg(F.collect_list(F.struct("item", "words", "m", "k", F.col("shift").cast("int").alias("shift"))).alias("tries"))
-    tried = tried.join(rows.select("row", "norm", "n_words"), "row")
+    wanted = staged(found.select("row").distinct(), "tried-rows")
+    texts = rows.select("row", "norm").join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "row", "left_semi")
+    tried = tried.join(texts, "row")
     # the words are split once per row: a lambda's variable is bound, where a column of another select would be pasted in
     starts = """transform(tries, t -> struct(t.item as item, t.k as k, transform(
         filter(if(greatest(0, -t.shift) <= least(t.m - t.k, size(ws) - t.k - t.shift), sequence(greatest(0, -t.shift), least(t.m - t.k, size(ws) - t.k - t.shift)), array()),
@@ -82,12 +88,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` without rows that hold a benchmark window; equal rows are judged alike, so id and text name a verdict. A null
     text holds none, an empty table stays empty, and other columns pass through whatever they are called."""
     id_, mark = fresh(docs, "_id", "_mark")
-    bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct()
+    with scratch(docs.sparkSession) as block:
+        bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct()
+        bad = block.result(bad, "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"].cast("string")) == bad[mark]), "left_anti")
 
 
 def _index(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """``word, entry, at, m, k``: for each window of an item, the position of its rarest word in all documents."""
+    """``word, entry, at, m, k``: for each window of an item, the positions of its words that are rarest in all documents."""
     places = items.select("entry", "m", "k", F.posexplode("words").alias("at", "word"))
     vocabulary = staged(places.select("word").distinct(), "vocabulary")
     words = rows.filter("n_words > 0").select(F.explode(F.split("norm", " ")).alias("word"))
@@ -98,8 +106,9 @@ def _index(rows: DataFrame, items: DataFrame) -> DataFrame:
     # a word that no document has rules out its windows
     places = places.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     windows = places.withColumn("first", F.explode(F.expr("sequence(greatest(0, at - k + 1), least(at, m - k))")))
-    rare = windows.groupBy("entry", "first").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.first("m").alias("m"), F.first("k").alias("k"))
-    rare = rare.filter("r.n > 0").select(F.col("r.word").alias("word"), "entry", F.col("r.at").alias("at"), "m", "k").distinct()
+    rare = windows.groupBy("entry", "first").agg(F.sort_array(F.collect_list(F.struct("n", "word", "at"))).alias("ws"), F.first("m").alias("m"), F.first("k").alias("k"))
+    rare = rare.filter(F.col("ws")[0]["n"] > 0).select("entry", "m", "k", F.explode(F.slice("ws", 1, PREFIX)).alias("w"))
+    rare = rare.select(F.col("w.word").alias("word"), "entry", F.col("w.at").alias("at"), "m", "k").distinct()
     return staged(rare, "rare")
 
 

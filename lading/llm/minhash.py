@@ -300,13 +300,18 @@ def _within(large: DataFrame, sketched: DataFrame, roots: DataFrame, count: int)
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one row of each group. Rows of equal doc_id and text are copies of which any one stays."""
+    """``docs`` with one row of each group. Rows of equal doc_id and text are copies of which any one stays.
+
+    Nulls: null, empty and wordless texts are one group; a null doc_id is an id like others and comes first. An empty table
+    stays empty; other columns pass through whatever they are called. The verdicts grow with the documents, so they are
+    never broadcast: both sides are sorted by id and text hash, and copies are then dropped without another shuffle.
+    """
     found = near_duplicates(docs, **kw)
     id_, mark = fresh(docs, "_id", "_mark")
     none = F.lit(-(1 << 63))
     kept = found.filter("kept").select(F.coalesce("doc_id", none).alias(id_), F.col("mark").alias(mark))
     marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), none))
-    return marked.join(kept, [id_, mark], "left_semi").dropDuplicates([id_, mark]).select(*docs.columns)
+    return marked.join(kept.hint("merge"), [id_, mark], "left_semi").dropDuplicates([id_, mark]).select(*docs.columns)
 
 
 def _features(chunks: DataFrame, replies: DataFrame, members: DataFrame, width: int, parts: int, documents: int, similarity: float) -> DataFrame:

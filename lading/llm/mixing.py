@@ -120,12 +120,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     chance of 0.3, so that each source keeps the share of words that the mix gave it. Documents without words stay once.
     Rows of equal doc_id and size share what the mix took of them together. Nulls: a null text has no words, a null doc_id
     is an id like others. An empty table stays empty; other columns pass through whatever they are called.
+    What is taken grows with the documents, so it is never broadcast.
     """
     id_, size, share, turn = fresh(docs, "_id", "_words", "_share", "_turn")
     seen = docs.select("doc_id", "source", n_words(F.col("text")).alias(size))
     took = mix(seen, size=F.col(size), seed=seed, **kw).groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size))
     took = took.agg(F.when(F.col(size) > 0, F.sum("taken") / F.sum("size")).otherwise(1.0).alias(share))
-    many = docs.join(took, docs["doc_id"].eqNullSafe(took[id_]) & (n_words(docs["text"]) == took[size]))
+    many = docs.join(took.hint("merge"), docs["doc_id"].eqNullSafe(took[id_]) & (n_words(docs["text"]) == took[size]))
     chance = spread(F.lit(seed + 3), "doc_id", F.col("text").cast("string")) / F.lit(float(1 << 62))
     many = many.withColumn(turn, F.floor(F.col(share)) + F.when(chance < F.col(share) - F.floor(share), 1).otherwise(0)).filter(F.col(turn) > 0)
     return many.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn).cast("int")))).select(*docs.columns)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import ship, staged
+from lading.llm.common import fresh, ship
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "points", "marks", "white", "distinct_words", "distinct_pairs", "top_word", "dup_lines", "line_words", "other_bytes")
 SYMBOLS = b"#*$%&|<>{}[]\\^~=_@/+"
@@ -134,43 +134,51 @@ def train(marked: DataFrame, label: str, shrink_pooled: float = 0.1, shrink_diag
     return fit(moments, shrink_pooled, shrink_diagonal)
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, temper: float = 0.5) -> DataFrame:
-    """All columns but the text, with ``held_out``, ``score`` and ``predicted``.
+#: Labelled rows that are learned from at most: the first in a hashed order. Their ids are broadcast.
+MOST_LABELS = 100_000
 
-    Labelled rows whose crc32(doc_id) modulo 4 is not 2 are learned from, all of them; ids, source and language are no
-    features. ``temper`` softens the densities, which features that hang together would make too sure.
 
-    Nulls: a null text counts as empty, a null label or a label other than 0 and 1 is not learned from. A document with
-    several labels counts once, with the highest. Repeated rows get equal scores and count each in training. Empty tables
-    give empty results, or scores of 0.5 where no label is known. Columns named like the results are replaced.
-    """
-    names = [c for c in docs.columns if c not in ("text", "held_out", "score", "predicted", "_x")]
-    rows = staged(with_statistics(docs.select(*names, "text")).drop("text"), "statistics")
-    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).filter("_label is not null")
-    model = train(rows.filter(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("_id")), "_label")
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labels: int = MOST_LABELS) -> Discriminant:
+    """The classifier of up to ``most_labels`` labelled documents that are not held out. Only texts of these are read for it."""
+    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).filter("_label in (0, 1) and _id is not null")
+    marks = marks.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(most_labels)
+    known = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(marks), "_id").select("text", "_label")
+    return train(with_statistics(known).drop("text"), "_label")
+
+
+def _scored(docs: DataFrame, model: Discriminant, temper: float, name: str) -> DataFrame:
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.score(np.stack(batch.to_numpy()), temper) if len(batch) else [], dtype="float64")
+            yield pd.Series(model.score(np.stack([statistics(t) for t in batch]), temper) if len(batch) else [], dtype="float64")
 
-    out = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score("_x"))
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("_x")
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, temper: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that the classifier, trained as in :func:`classify`, rejects."""
-    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).filter("_label is not null")
-    known = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("_id")).select("text", "_label")
-    model = train(with_statistics(known).drop("text"), "_label")
-    ship(docs.sparkSession)
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, temper: float = 0.5, most_labels: int = MOST_LABELS) -> DataFrame:
+    """All columns but the text, with ``held_out``, ``score`` and ``predicted``.
 
-    @F.pandas_udf("boolean")
-    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(model.score(np.stack([statistics(t) for t in batch]), temper) >= threshold if len(batch) else [], dtype=bool)
+    Labelled rows whose crc32(doc_id) modulo 4 is not 2 are learned from, up to ``most_labels`` of them; ids, source and
+    language are no features. ``temper`` softens the densities, which features that hang together would make too sure.
 
-    return docs.filter(good(F.col("text").cast("string")))
+    Nulls: a null text counts as empty, a null label or a label other than 0 and 1 is not learned from. A document with
+    several labels counts once, with the highest. Repeated rows get equal scores and count each in training. Empty tables
+    give empty results, or scores of 0.5 where no label is known. Columns named like the results are replaced.
+    """
+    model = learn(docs, labels, label, most_labels)
+    rows = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")])
+    out = _scored(rows, model, temper, "score").drop("text").withColumn("held_out", held_out(F.col("doc_id")))
+    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, temper: float = 0.5, most_labels: int = MOST_LABELS) -> DataFrame:
+    """``docs`` without the rows that the classifier, trained as in :func:`classify`, rejects. A null or empty text is scored
+    as an empty one, equal rows are judged alike, an empty table stays empty; other columns pass through unchanged."""
+    model = learn(docs, labels, label, most_labels)
+    (score,) = fresh(docs, "_score")
+    return _scored(docs, model, temper, score).filter(F.col(score) >= threshold).drop(score)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
