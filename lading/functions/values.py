@@ -140,7 +140,7 @@ def port(c: Column) -> Column:
 
 
 def container(c: Column) -> Column:
-    names = {"20DV": tuple(f"20{x}" for x in DRY), "40DV": tuple(f"40{x}" for x in DRY_40), "40HC": tuple(f"40{x}" for x in HIGH), "45HC": tuple(f"45{x}" for x in HIGH[:3])}
+    names = {"20DV": tuple(f"20{x}" for x in DRY), "40DV": tuple(f"40{x}" for x in DRY_40), "40HC": tuple(f"40{x}" for x in HIGH), "45HC": tuple(f"45{x}" for x in HIGH)}
     return _renamed(F.regexp_replace(F.upper(_blank_to_null(c)), "[^A-Z0-9]", ""), names)
 
 

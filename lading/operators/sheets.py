@@ -10,42 +10,95 @@ from pyspark.sql import functions as F
 from lading.functions.text import header_key
 from lading.functions.values import BASE_PORTS, containers, is_base_ports, money
 
-# Header keys by the field that they name. Keys that only add "amount", "cost" or "sale" to another are made
-# by rule in default_mappings().
+# Header keys by the field that they name. Keys of costs and sales are made by rule in default_mappings().
 FIELDS = {
     "OriginPort": "pol origin origen originport puertoorigen portloading portofloading loading loadingport loadport from por placeofreceipt receipt",
-    "PortOfExit": "poe portofexit exitport puertosalida portofentry entryport puertoentrada destination destino destinationport puertodestino portdischarge portofdischarge discharge dischargeport arrivalport portofarrival gateway transshipment transbordo via to pod",
+    "PortOfExit": "poe portofexit exitport puertosalida portofentry entryport puertoentrada destination destino destinationport puertodestino portdischarge portofdischarge discharge dischargeport arrivalport portofarrival gateway costaricagateway transshipmentport transshipment transbordo via to pod",
     "DestinationPort": "finaldestination placeofdelivery delivery deliveryplace deliverypoint finaldelivery destinofinal lugardeentrega puntodeentrega",
     "Carrier": "carrier naviera linea lineamaritima shippingline steamshipline shippingcompany ssl oceanline line",
     "Agent": "agent agente forwarder proveedor provider",
-    "ContainerType": "container containersize containertype equipment equipmentsize equipmenttype equipo tipocontenedor contenedor cntr eq equip eqtype type size sizetype",
+    "ContainerType": "container containersize containersizetype containertype containercode equipment equipmentsize equipmenttype equipmentcode equipo tipocontenedor contenedor cntr eq equip eqtype type size sizetype",
     "Commodity": "commodity mercancia producto cargo cargotype descripcion description",
     "Currency": "currency moneda curr ccy divisa",
-    "TransitDays": "diastransito transitdays tiempotransito tiempoentransito transittime tt",
+    "TransitDays": "diastransito transitdays transittimedays transitdayscount diastransitocantidad tiempotransito tiempoentransito transittime tt",
     "FreeDays": "diaslibres freedays freetime free fd demurragefreedays detentionfreedays demdetfreedays",
     "ValidFrom": "validfrom vigencia vigenciadesde inicio fechainicio start startdate desde effective effectivedate effectiveetd effectivefrom validityfrom",
     "ValidTo": "validto validuntil vigenciahasta vence vencimiento fechavencimiento fin fechafin hasta validity validityto expiration expirationdate expiracion expiry expirydate expiredate effectiveto",
     "OceanFreight": "oceanfreight freight seafreight basicfreight freightrate rate rateusd amount tarifa precio price flete montoflete montotarifa fleteoceanico of ocf",
-    "Surcharges": "fixedcosts costosfijos costofijo charges localcharges surcharges recargos extras",
+    "Surcharges": "fixedcosts fixedcost costosfijos costofijo charges localcharges surcharges recargos extras",
     "OriginCharges": "origincharges gastosorigen origencharges",
     "DestinationCharges": "destinationcharges gastosdestino destinocharges",
     "TotalCost": "totalcost totalcostos costototal costostotales",
-    "TotalSale": "totalsale venta totalventa sellingamount allin allinventa",
+    "TotalSale": "totalsale venta totalventa sellingamount",
     "Profit": "profit utilidad",
     "Margin": "margin margen",
-    "SpaceComment": "space spaces espacios comentarioespacios comentariosdeespacios",
+    "SpaceComment": "space spaces espacios comentarioespacios comentariosdeespacios comentariosespacios",
     "Remarks": "remarks observaciones comentarios comment comments notes nota notas",
     "RouteMode": "route routemode",
     "UpdatedAt": "actualizado updatedat updated lastupdate lastupdated",
 }
-WITH_AMOUNT = ("freight", "oceanfreight", "rate", "flete", "sale")
+# What "amount" follows, and charges in Spanish, which "costo" or "venta" follows, and in English, which "cost"
+# or "sale" follows; keys that stand for a charge alone.
+WITH_AMOUNT = {"OceanFreight": "freight oceanfreight rate flete", "TotalSale": "sale"}
+COSTS = {
+    "OceanFreight": ("fletemaritimo fleteoceanico", "freight"),
+    "AgentProfitCost": ("profitagente", "agentprofit"),
+    "AgentReleaseCost": ("releaseagente release", "agentrelease"),
+    "DestinationThcCost": ("thcd thdd thcdestination", ""),
+    "DocumentationCost": ("documentacion", "documentation"),
+    "ContainerProtectCost": ("containerprotect containerprotection", ""),
+    "WharfageCost": ("muellaje", "wharfage"),
+    "MerchantCost": ("merchant", "merchant"),
+    "InternalFreightCost": ("fleteinterno", "internalfreight"),
+    "CarouselCost": ("carrusel", "carousel"),
+    "PanamaHandlingCost": ("manejospty", "panamahandling"),
+    "InternationalLandFreightCost": ("fleteinternacionalterrestre", "landfreight"),
+    "BunkerCost": ("bunker", ""),
+}
+SALES = {
+    "InternationalFreightSale": ("fleteinternacional", "internationalfreight"),
+    "AllInSale": ("allin", ""),
+    "DestinationChargesSale": ("cargosendestino", "destinationcharges"),
+    "CarouselSale": ("carrusel", "carousel"),
+    "InternalFreightSale": ("fleteinterno", "internalfreight"),
+    "HandlingSale": ("manejos", "handling"),
+}
+ALONE = {"thcd": "DestinationThcCost", "manejospty": "PanamaHandlingCost", "bunker": "BunkerCost", "allin": "AllInSale"}
+
+
+def default_fields() -> dict[str, str]:
+    """Header key -> field."""
+    out = {k: f for f, keys in FIELDS.items() for k in keys.split()} | ALONE
+    out |= {f"{k}amount": f for f, keys in WITH_AMOUNT.items() for k in keys.split()}
+    for table, ends in ((COSTS, ("costo", "cost")), (SALES, ("venta", "sale"))):
+        out |= {f"{k}{end}": f for f, both in table.items() for keys, end in zip(both, ends, strict=True) for k in keys.split()}
+    return out
 
 
 def default_mappings(spark: SparkSession) -> DataFrame:
     """``key, field``: which field a header key stands for."""
-    rows = [(k, f) for f, keys in FIELDS.items() for k in keys.split()]
-    rows += [(f"{k}amount", "TotalSale" if k == "sale" else "OceanFreight") for k in WITH_AMOUNT]
-    return spark.createDataFrame(rows, "key string, field string")
+    return spark.createDataFrame(list(default_fields().items()), "key string, field string")
+
+
+def decorated_currency(key: Column) -> Column:
+    """Whether a header key is a currency with a container size, such as that of ``Moneda 20'``."""
+    return key.rlike("^(currency|moneda|curr|ccy|divisa)(20|40|45)(ft|dv|dc|gp|hc|hq|rf|reefer|ot|std|st)?$")
+
+
+#: Said in the remarks of rows that sail on one day.
+ETD_NOTE = "Vigencia de un día derivada de Effective ETD."
+
+
+def one_day_validity(fields: Column, etd: Column) -> Column:
+    """``fields`` with both ends of the validity set to the sailing ``etd``, where there is one, and a note of that in the
+    remarks, once."""
+    remarks = F.trim(F.coalesce(F.try_element_at(fields, F.lit("Remarks")), F.lit("")))
+    noted = F.when(remarks == "", F.lit(ETD_NOTE)).when(F.contains(F.lower(remarks), F.lit(ETD_NOTE.lower())), remarks)
+    noted = F.coalesce(noted, F.concat(F.regexp_replace(remarks, r"\.+$", ""), F.lit(". " + ETD_NOTE)))
+    rest = F.map_filter(fields, lambda k, v: ~k.isin("ValidFrom", "ValidTo", "Remarks"))
+    day = F.trim(etd)
+    set_ = F.create_map(F.lit("ValidFrom"), day, F.lit("ValidTo"), day, F.lit("Remarks"), noted)
+    return F.when(F.coalesce(day, F.lit("")) != "", F.map_concat(rest, set_)).otherwise(fields)
 
 
 def overlay(defaults: DataFrame, rules: DataFrame) -> DataFrame:
@@ -60,6 +113,7 @@ def cells_to_rows(cells: DataFrame, mappings: DataFrame, row_keys: list[str]) ->
     that is not blank wins; unknown headers go. ``mappings`` is a dictionary of some hundred rows, so Spark broadcasts it
     by its size."""
     keyed = cells.filter(F.trim("value") != "").withColumn("key", header_key(F.col("header")))
+    keyed = keyed.withColumn("key", F.when(decorated_currency(F.col("key")), "currency").otherwise(F.col("key")))
     named = keyed.join(mappings, "key").groupBy(*row_keys, "field").agg(F.max_by("value", "pos").alias("value"))
     return named.groupBy(*row_keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
 
@@ -81,8 +135,8 @@ def unpivot_containers(rows: DataFrame, columns: list[str], keep: list[str]) ->
 
 def explode_containers(rows: DataFrame, column: str) -> DataFrame:
     """A row per kind that the cell stands for; cells that name none stay as they are."""
-    kinds = containers(F.col(column))
-    return rows.withColumn(column, F.explode(F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.col(column)))))
+    with_kinds = rows.withColumn("_kinds", containers(F.col(column)))
+    return with_kinds.withColumn(column, F.explode(F.when(F.size("_kinds") > 0, F.col("_kinds")).otherwise(F.array(F.col(column))))).drop("_kinds")
 
 
 def places(c: Column) -> Column:
@@ -94,8 +148,10 @@ def places(c: Column) -> Column:
 
 def explode_routes(rows: DataFrame, columns: tuple[str, ...] = ("pol", "poe", "pod")) -> DataFrame:
     """Every combination of the ports in the columns; empty ones stay null."""
-    for c in columns:
-        rows = rows.withColumn(c, F.explode_outer(F.when(F.size(places(F.col(c))) > 0, places(F.col(c)))))
+    for c in columns:  # a cell without separators is its own place
+        plain = F.trim(c)
+        simple = ~F.col(c).rlike(r"(?i)[/;,]|\s(and|y)\s") & (plain != "") & ~is_base_ports(F.col(c))
+        rows = rows.withColumn(c, F.explode_outer(F.when(simple, F.array(plain)).otherwise(F.filter(places(F.col(c)), lambda p: p != ""))))
     return rows
 
 

@@ -62,9 +62,10 @@ def table_rows(lines: list[list[str]], first_row: int = 2) -> list[tuple[int, li
 
 
 def parse(text: str) -> list[tuple[int, list[dict]]]:
+    """Rows are numbered as records from the header on; empty lines are no records, records of blank cells count."""
     head = text.lstrip("\r\n").split("\n", 1)[0]
     delimiter = max(DELIMITERS, key=head.count)
-    return table_rows([r for r in csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True) if any(c.strip() for c in r)])
+    return table_rows([r for r in csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True) if r])
 
 
 def read_cells(files: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_resolution(spark):
 def test_delimited(spark, tmp_path):
     Path(tmp_path / "a.csv").write_bytes("POL;POD;pol;\nMoín;X;1;y\n;;;\n\"a;b\";;2;z\n".encode("cp1252"))
     got = [(r["row_number"], [(c["header"], c["value"]) for c in r["cells"]]) for r in delimited.read_csv(spark, str(tmp_path)).orderBy("row_number").collect()]
-    assert got == [(2, [("POL", "Moín"), ("POD", "X"), ("pol_2", "1")]), (4, [("POL", "a;b"), ("POD", None), ("pol_2", "2")])] or [r[1] for r in got] == [[("POL", "Moín"), ("POD", "X"), ("pol_2", "1")], [("POL", "a;b"), ("POD", None), ("pol_2", "2")]]
+    assert got == [(2, [("POL", "Moín"), ("POD", "X"), ("pol_2", "1")]), (4, [("POL", "a;b"), ("POD", None), ("pol_2", "2")])]
     assert delimited.decode(b"\x4d\x6f\xed\x6e") == "Moín" and delimited.decode("MoÃ­n".encode()) == "Moín"
 
 
