@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lading.functions.values import carrier, container, currency, date, days, fits, money, port
+
 #: Codes of issues that block a record.
 BLOCKING = ("missing_origin_port", "missing_port_of_exit", "missing_container_type", "missing_carrier", "missing_currency", "missing_valid_from", "missing_valid_to", "invalid_validity_range", "missing_rate_amount")
 REFERENCED = ("origin_port", "port_of_exit", "destination_port", "container_type", "carrier", "agent", "currency")
@@ -85,3 +87,53 @@ def confidence(matched: Column, expected: Column, blocking: Column, review: Colu
     """The lesser of what structure and catalogs say, 0 to 100."""
     structural = F.greatest(F.lit(0.0), 100.0 - 100.0 * blocking / F.greatest(rows, F.lit(1)) - 10.0 * (review > 0).cast("int"))
     return F.least(structural, F.when(expected > 0, 100.0 * matched / expected).otherwise(0.0))
+
+
+#: Charges that make up a sum where the sum itself is not given.
+CHARGES = {
+    "origin_charges": ("OriginCharges", ("AgentProfitCost", "AgentReleaseCost")),
+    "destination_charges": ("DestinationCharges", ("DestinationThcCost", "DocumentationCost", "ContainerProtectCost", "WharfageCost", "MerchantCost")),
+    "surcharges": ("Surcharges", ("InternalFreightCost", "CarouselCost", "PanamaHandlingCost", "InternationalLandFreightCost", "BunkerCost")),
+}
+SALES = ("TotalSale", "AllInSale", "InternationalFreightSale")
+MONEY = ("OceanFreight", "TotalCost", "Profit", "Margin", *SALES, *(c for whole, parts in CHARGES.values() for c in (whole, *parts)))
+
+
+def first_text(*columns: Column) -> Column:
+    """The first that is not blank, trimmed."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in columns])
+
+
+def price_records(rows: DataFrame, as_of_year: int, fields: str = "fields") -> DataFrame:
+    """Rows with a map of fields as typed records: names in their usual spelling, dates, days, and all amounts.
+
+    Charges not given as a whole are the sum of their parts; the cost is that of freight and charges; the sale is the first
+    of three fields that reads as money; profit and margin follow where they are not given. Amounts that do not fit
+    decimal(18, 4) are null. A null map, or one without a field, gives nulls and the default currency.
+    """
+    names = [c for c in rows.columns if c != fields]
+    text = lambda k: first_text(F.try_element_at(F.col(fields), F.lit(k)))
+    read = rows.select(*names, F.col(fields), *[money(text(k)).alias(f"_m_{k}") for k in MONEY])
+    m = lambda k: F.col(f"_m_{k}")
+    slip = shifted_validity(text("ValidFrom"), text("ValidTo"))
+    read = read.withColumn("_slip", slip).withColumn("ocean_freight", m("OceanFreight"))
+    for name, (whole, parts) in CHARGES.items():
+        read = read.withColumn(name, fits(F.coalesce(m(whole), sum_known(*map(m, parts))).cast("decimal(38,10)")))
+    cost = F.coalesce(m("TotalCost"), sum_known(*[F.col(c) for c in ("ocean_freight", *CHARGES)]))
+    read = read.withColumn("total_cost", fits(cost.cast("decimal(38,10)"))).withColumn("total_sale", F.coalesce(*map(m, SALES)))
+    read = read.withColumn("profit", fits(F.coalesce(m("Profit"), profit(F.col("total_sale"), F.col("total_cost"))).cast("decimal(38,10)")))
+    read = read.withColumn("margin", fits(F.coalesce(m("Margin"), F.when(F.col("total_sale") != 0, F.bround(F.col("profit") / F.col("total_sale") * 100, 4))).cast("decimal(38,10)")))
+    return read.select(
+        *names, port(text("OriginPort")).alias("origin_port"), port(text("PortOfExit")).alias("port_of_exit"), port(text("DestinationPort")).alias("destination_port"),
+        container(text("ContainerType")).alias("container_type"), carrier(text("Carrier")).alias("carrier"), text("Agent").alias("agent"), text("Commodity").alias("commodity"), currency(text("Currency")).alias("currency"),
+        F.coalesce(F.col("_slip.free_days"), days(text("FreeDays"))).alias("free_days"), days(text("TransitDays")).alias("transit_days"),
+        date(F.col("_slip.from_text"), as_of_year).alias("valid_from"), date(F.col("_slip.to_text"), as_of_year).alias("valid_to"),
+        "ocean_freight", *CHARGES, "total_cost", "total_sale", "profit", "margin", text("SpaceComment").alias("space_comment"), first_text(F.try_element_at(F.col(fields), F.lit("Remarks")), F.try_element_at(F.col(fields), F.lit("RouteMode"))).alias("remarks"),
+    )
+
+
+def apply_catalog(records: DataFrame, column: str, resolved: DataFrame) -> DataFrame:
+    """``records`` with ``column`` in the catalog's spelling and its item in ``<column>_ref``; values that resolve to nothing
+    stay as they are. ``resolved(value, item_id, name)`` has a row per distinct value, so no record repeats."""
+    found = resolved.select(F.col("value").alias(column), F.col("item_id").alias(f"{column}_ref"), F.col("name").alias("_name"))
+    return records.join(found, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
