@@ -27,8 +27,14 @@ NOISE = re.compile(
     re.I,
 )
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
-TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-TAG_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+COMMENT = re.compile(r"<!--.*?(?:--!?>|\Z)", re.S)
+DECLARATION = re.compile(r"<[!?][^>]*>")
+#: No part of these gives back what it has taken, so each try is linear in what it reads.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+TAG_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)([^>]*+)>")
+#: Characters within which quotes of a tag are heeded; a longer tag ends at its first ``>``. Levels that a start tag looks up
+#: for an element that it closes.
+MOST_TAG, MOST_LEVELS = 4096, 256
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
 
@@ -62,9 +68,20 @@ def _is_noise(tag: str, attributes: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and text; unclosed paragraphs and list items end where a block begins."""
+    """A tree of elements and text; unclosed paragraphs and list items end where a block begins. Time is linear in the page,
+    whatever its markup: tags that never end are text, and end tags without a start are known by a count."""
     root = here = Node("#root", False, None)
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    open_: dict[str, int] = {}
+
+    def leave(up: Node) -> Node:
+        """Closes everything up to and with ``up``."""
+        x = here
+        while x is not up.parent:
+            open_[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -72,40 +89,42 @@ def parse(page: str) -> Node:
             break
         if lt > at:
             here.items.append(page[at:lt])
-        m = TAG.match(page, lt) or TAG_LOOSE.match(page, lt)
+        skipped = COMMENT.match(page, lt) or (DECLARATION.match(page, lt) if lt < last else None)
+        if skipped:
+            at = skipped.end()
+            continue
+        m = (TAG.match(page, lt, lt + MOST_TAG) or TAG_LOOSE.match(page, lt)) if lt < last else None
         if m is None:  # a bare "<"
             here.items.append("<")
             at = lt + 1
             continue
         at = m.end()
-        close, tag, attributes = m.group(m.lastindex - 2, m.lastindex - 1, m.lastindex) if m.lastindex and m.lastindex >= 3 else (None, None, None)
-        if tag is None:
-            continue
+        close, tag, attributes = m.groups()
         tag = tag.lower()
         if close:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if open_.get(tag):
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up)
             elif tag in BLOCK:
                 here.items.append(Node("br", False, here))
             continue
         if tag in CLOSES_P:
-            up = here
-            while up is not root and up.tag not in ("p", "td", "th", "li", "article", "section", "div", "main", "body", "table", "button", *HEADINGS):
+            up, levels = here, 0
+            while up is not root and (levels := levels + 1) < MOST_LEVELS and up.tag not in ("p", "td", "th", "li", "article", "section", "div", "main", "body", "table", "button", *HEADINGS):
                 up = up.parent
             if up.tag == "p" or (tag in HEADINGS and up.tag in HEADINGS):
-                here = up.parent
+                here = leave(up)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            up = here
-            while up is not root and up.tag not in same and up.tag not in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "div", "article", "section", "body"):
+            up, levels = here, 0
+            while up is not root and (levels := levels + 1) < MOST_LEVELS and up.tag not in same and up.tag not in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "div", "article", "section", "body"):
                 up = up.parent
             if up.tag in same:
-                here = up.parent
+                here = leave(up)
                 if tag == "tr" and up.tag != "tr" and here.tag == "tr":
-                    here = here.parent
+                    here = leave(here)
         node = Node(tag, _is_noise(tag, attributes), here)
         here.items.append(node)
         if tag in RAW and not attributes.endswith("/"):
@@ -113,6 +132,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             here = node
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 

@@ -46,10 +46,19 @@ def host_rules(docs: DataFrame, least_words: int = 20, most_repeat_percent: int
 
     A document fails a rule when it is short, repeats windows, is full of symbols or repeats lines; per host the failing
     documents are counted. The rates of all hosts give a beta prior by the method of moments, weighted by documents; the
-    posterior mean shrinks small hosts towards it. All documents of a host with a shrunk rate above ``host_limit`` go,
-    besides those that fail the base rules. With one host, or no spread between hosts, the prior is the mean rate with
-    the weight of 100 documents.
+    posterior mean shrinks small hosts towards it. Documents that fail the base rules go. Those that fail another rule go
+    where their host's shrunk rate is above the prior mean, as the host then bears the suspicion out. All documents of a
+    host with a shrunk rate above ``host_limit`` go. With one host, or no spread between hosts, the prior is the mean rate
+    with the weight of 100 documents.
+
+    Nulls: a null text is empty and fails, a null source is a host of its own. Repeated rows count each; an empty table
+    gives an empty result. Only ``doc_id, text, source`` are read.
     """
+    with scratch(docs.sparkSession) as block:
+        return block.result(_host_rules(docs, least_words, most_repeat_percent, most_symbol_share, most_dup_line_share, host_limit), "host-rules")
+
+
+def _host_rules(docs: DataFrame, least_words: int, most_repeat_percent: int, most_symbol_share: float, most_dup_line_share: float, host_limit: float) -> DataFrame:
     counts = rule_counts(docs)
     lines = F.col("n_dup_lines")
     counts = counts.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")))
@@ -67,7 +76,8 @@ def host_rules(docs: DataFrame, least_words: int = 20, most_repeat_percent: int
         alpha, beta = 1.0, 1.0
     verdicts = hosts.select("host_key", ((F.col("bad") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
     out = counts.join(verdicts, "host_key").withColumn("host_rejected", F.col("host_rate") > host_limit)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("host_key", "failed")
+    borne_out = F.col("failed") & (F.col("host_rate") > F.lit(alpha / (alpha + beta)))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~borne_out).drop("host_key", "failed")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lading.llm import lines, minhash, personal_data, quality_rules, sharding
+from lading.llm import lines, minhash, pages, personal_data, quality_rules, sharding
 from lading.sources import mail
 
 
@@ -157,3 +158,30 @@ def test_long_mail_bodies_are_whole(monkeypatch):
     assert got == "first\n[contenido binario MIME omitido]\nlast\n"
     got = mail.parse(rows.encode())["body_text"]
     assert got.startswith("rate 1 USD\n") and got.endswith("\n[contenido MIME truncado; el original se conserva como correo bruto]")
+
+
+@pytest.mark.parametrize("piece", ["<script", "a<b", '<a "', "<b>", "</div>", '<a ">" ', "<!-", "<p><b>", "<li><i>"])
+def test_odd_markup_takes_linear_time(piece):
+    def took(size):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        pages.main_text(page)
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(400_000) < 60 * max(took(40_000), 0.005)
+
+
+def test_deep_unmatched_ends_take_linear_time():
+    began = time.process_time()
+    pages.main_text("<b>" * 50_000 + "</i>" * 50_000)
+    assert time.process_time() - began < 5
+
+
+def test_documents_that_fail_a_soft_rule_go_with_bad_hosts_only(spark):
+    r = random.Random(7)
+    fine = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    marked = lambda: " ".join(f"w{r.randrange(10**3)}##" for _ in range(60))
+    docs = [(i, fine(), "good") for i in range(200)] + [(200, marked(), "good")] + [(300 + i, fine(), "bad") for i in range(60)] + [(400 + i, marked(), "bad") for i in range(40)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.host_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert kept[200] and all(kept[i] for i in range(200)) and all(kept[300 + i] for i in range(60)) and not any(kept[400 + i] for i in range(40))
