@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lading.operators import agents, mailbox, records, selection
+from lading.operators import agents, linetables, mailbox, records, selection, sheets
 from lading.plans.rates import table
 
 QUERIES: dict = {}
@@ -222,3 +223,55 @@ def priced_records(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), fields.alias("fields")).repartition("order_key")
     out = records.price_records(rows, 2026)
     return out.select("order_key", "line_no", "origin_port", "container_type", "carrier", "free_days", *[F.col(x).cast("double").alias(x) for x in ("ocean_freight", "origin_charges", "total_cost", "total_sale", "profit")], "remarks")
+
+
+def rate_mails(spark, sf_dir):
+    """Lines of mails with rates in one of three layouts, or none: rows of an order as bars, as one cell a line, or as pairs."""
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    text = lambda c: F.col(c).cast("string")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 4).alias("kind"), r.alias("r"), F.array(F.concat(F.lit("P"), text("l_partkey")), F.concat(F.lit("E"), text("l_suppkey")), F.lit("MSC"), F.col("l_quantity").cast("int").cast("string")).alias("cells"))
+    heads = F.array(*map(F.lit, ("POL", "POE", "Carrier", " Rate ")))
+    line = lambda pos, t: F.struct(pos.cast("int").alias("pos"), t.alias("text"))
+    bars = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    one_each = lambda cells, at: F.transform(cells, lambda c, i: line(at + i, c))
+    pairs = F.transform(F.arrays_zip(heads.alias("h"), F.col("cells").alias("c")), lambda x, i: line(4 * F.col("r") + i, F.concat(x["h"], F.when(i == 1, " = ").otherwise(": "), x["c"])))
+    own = F.when(F.col("kind") == 0, F.array(line(1 + F.col("r"), bars(F.col("cells"))))).when(F.col("kind") == 1, one_each(F.col("cells"), 1 + 4 * F.col("r"))).when(F.col("kind") == 2, pairs)
+    frame = F.array(line(F.lit(0), F.lit("Dear all, see our rates: valid now")), line(F.lit(1000), F.lit("Best regards, POL | POE | Carrier")))
+    head = F.when(F.col("kind") == 0, F.array(line(F.lit(1), bars(heads)))).when(F.col("kind") == 1, one_each(heads, F.lit(1)))
+    none = F.array().cast("array<struct<pos:int,text:string>>")
+    every = F.concat(F.coalesce(own, none), F.when(F.col("r") == 1, F.concat(frame, F.coalesce(head, none))).otherwise(none))
+    return rows.select("doc_id", F.explode(every).alias("l")).select("doc_id", "l.pos", "l.text")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_orderkey % 4 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, l_partkey, l_suppkey, l_quantity FROM lineitem)
+SELECT doc_id, CAST(r AS BIGINT) AS row_number, CASE kind WHEN 0 THEN 'delimited' WHEN 1 THEN 'stacked' ELSE 'pairs' END AS parser, 'P' || CAST(l_partkey AS VARCHAR) AS origin, 'E' || CAST(l_suppkey AS VARCHAR) AS port_of_exit, 'MSC' AS carrier, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS rate FROM l WHERE kind < 3""")
+def mail_tables(spark, sf_dir):
+    """Rates found in mails of three layouts and mapped to fields."""
+    lines = rate_mails(spark, sf_dir)
+    mappings = sheets.default_mappings(spark)
+    cells = linetables.mail_tables(lines, mappings)
+    rows = sheets.cells_to_rows(cells, mappings, ["doc_id", "row_number", "parser"])
+    f = lambda k: F.col(f"fields.{k}")
+    return rows.select("doc_id", F.col("row_number").cast("long").alias("row_number"), "parser", f("OriginPort").alias("origin"), f("PortOfExit").alias("port_of_exit"), f("Carrier").alias("carrier"), f("OceanFreight").alias("rate"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'MSC' WHEN o_orderkey % 4 = 2 THEN 'CMA CGM' END AS carrier, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 30 AS INT) WHEN o_orderkey % 3 = 1 THEN 14 END AS free_days FROM orders""")
+def document_hints(spark, sf_dir):
+    """Carrier and free days that a whole text names."""
+    k = F.col("o_orderkey")
+    who = F.when(k % 4 == 1, "rates by MSC here").when(k % 4 == 2, "our cma-cgm offer").when(k % 4 == 3, "MSC and Cosco").otherwise("none")
+    free = F.when(k % 3 == 0, F.concat((k % 30).cast("string"), F.lit(" days free"))).when(k % 3 == 1, "Días libres: 14").otherwise("")
+    text = F.concat_ws("\n", who, free)
+    return table(spark, sf_dir, "orders").select("o_orderkey", linetables.the_carrier(text).alias("carrier"), linetables.free_days(text).alias("free_days"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, l_partkey, l_suppkey FROM lineitem)
+SELECT doc_id, CAST(r - 1 AS INT) AS pos, 'a' || CAST(l_partkey AS VARCHAR) || ' b   c' || CAST(l_suppkey AS VARCHAR) AS text FROM p""")
+def word_lines(spark, sf_dir):
+    """Lines of a page from the places of its words: three words a line, heights off by up to three points."""
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", "l_suppkey", r.alias("r"))
+    word = lambda text, left, off: F.struct(text.alias("word"), F.lit(left).alias("left"), F.lit(left + 10.0).alias("right"), (800.0 - 12 * F.col("r") - off).alias("bottom"))
+    at = F.explode(F.array(word(F.concat(F.lit("c"), F.col("l_suppkey").cast("string")), 60.0, 2.5), word(F.lit("b"), 22.0, 3.0), word(F.concat(F.lit("a"), F.col("l_partkey").cast("string")), 10.0, 0.5)))
+    words = rows.select("doc_id", F.lit(1).alias("page"), at.alias("w")).select("doc_id", "page", "w.word", "w.left", "w.right", "w.bottom")
+    return linetables.words_to_lines(words)

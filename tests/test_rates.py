@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lading import queries
+from lading import mail_queries, queries
 from lading.functions import text as tx
 from lading.functions import values as v
 from lading.operators import records, resolution, sheets
@@ -132,21 +132,25 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("job_states").collect()}
-    assert {tuple(r) for r in jobs.replay(events).collect()} <= got
+    want = {tuple(r) for r in jobs.replay(events).collect()}
+    assert want <= got and {r[0] for r in got} == {r[0] for r in want}
+
+
+QUERIES, ORACLE_SQL = queries.QUERIES | mail_queries.QUERIES, queries.ORACLE_SQL | mail_queries.ORACLE_SQL
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = [tuple(r[c] for c in sorted(df.columns)) for r in df.collect()]
-    if name not in queries.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert got
         return
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    result = con.execute(queries.ORACLE_SQL[name])
+    result = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     order = sorted(range(len(names)), key=lambda i: names[i])
     want = [tuple(r[i] for i in order) for r in result.fetchall()]
