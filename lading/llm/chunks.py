@@ -36,15 +36,17 @@ class _Vocabulary(dict):
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers or floats as one compressed value; whole numbers take as many bytes as they need."""
+    """Arrays of whole numbers or floats as one compressed value. Whole numbers take as many bytes as they need; the first
+    bytes of all come first, then the second ones and so on, as those of high order are much alike."""
     parts = [len(arrays).to_bytes(1, "little")]
     for a in arrays:
         if a.dtype.kind in "iu" and len(a):
             top, low = int(a.max()), int(a.min())
             if low >= 0:
                 a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-        parts.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + a.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+        parts.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -52,7 +54,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 1, []
     for _ in range(raw[0]):
         kind, n = np.dtype(raw[at : at + 4].decode().strip()), int.from_bytes(raw[at + 4 : at + 12], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 12))
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += 12 + n * kind.itemsize
     return out
 
