@@ -22,7 +22,7 @@ from lading.llm.common import saved, ship
 
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 1 << 20
-CHUNK_SCHEMA = "chunk long, ids array<long>, marks array<long>, lens array<int>, vocab array<long>, tokens array<int>"
+CHUNK_SCHEMA = "chunk long, ids array<long>, marks array<long>, lens array<int>, vocab array<long>, tokens binary"
 REPLY_SCHEMA = "chunk long, level int, part int, blob binary"
 #: ASCII other than letters and digits becomes a space, capitals become small.
 ALNUM = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
@@ -61,6 +61,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def lists(column: pa.ChunkedArray, i: int) -> np.ndarray:
+    """The numbers in a cell: of a list, or packed."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return unpack(column[i].as_py())[0].astype(np.int32)
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
@@ -100,7 +103,7 @@ def stage_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             vocab = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in names), np.int64, len(names))
             joined = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
             one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, t))
-            return pa.RecordBatch.from_arrays([pa.array([part << 16 | k], pa.int64()), one(ids, pa.int64()), one(marks, pa.int64()), one(lens, pa.int32()), one(vocab, pa.int64()), one(joined, pa.int32())], ["chunk", "ids", "marks", "lens", "vocab", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 16 | k], pa.int64()), one(ids, pa.int64()), one(marks, pa.int64()), one(lens, pa.int32()), one(vocab, pa.int64()), pa.array([pack(joined)], pa.binary())], ["chunk", "ids", "marks", "lens", "vocab", "tokens"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -193,7 +193,8 @@ def _near_duplicates(docs: DataFrame, similarity: float, width: int, bands: int,
     spark = docs.sparkSession
     ship(spark)
     chunks = stage_tokens(docs, id_col, text_col, alnum=True)
-    size, n_docs = chunks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    tokens = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+    size, n_docs = chunks.agg(F.coalesce(F.sum(tokens), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     parts = min(1 << (63 - PART_BITS), n_parts(int(size), per_part))
     replies = _document_counts(chunks, width, parts)
     release(spark)
