@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import shutil
 import tempfile
@@ -76,7 +77,9 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now; it waits for a collection on the driver."""
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now; it waits for a collection on the driver, which
+    finds only what Python has let go of."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
