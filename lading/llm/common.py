@@ -83,6 +83,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Spark drops the shuffle files of a query when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files behind; what they write is read in their place."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -93,7 +111,8 @@ def _written(df: DataFrame, name: str, block: Scratch | None, partition_by: Sequ
     path = f"{shared_dir(spark)}/lading/{name}-{uuid.uuid4().hex}"
     if block:
         block.paths.append(path)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     schema = df.schema
     if partition_by:  # columns of the path come last when read
         schema = T.StructType([f for f in schema if f.name not in partition_by] + [f for f in schema if f.name in partition_by])
@@ -113,7 +132,8 @@ def saved(df: DataFrame, name: str, column: str) -> DataFrame:
     if _blocks:
         _blocks[-1].tables.append(table)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(buckets, column).option("compression", "zstd").saveAsTable(table)
+    with _shuffles_dropped(spark):
+        df.write.bucketBy(buckets, column).option("compression", "zstd").saveAsTable(table)
     return spark.read.table(table)
 
 
