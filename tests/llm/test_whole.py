@@ -94,6 +94,21 @@ def test_lines_with_a_changed_word_or_letter(spark, n):
     assert found >= 0.97 * len(want) > 150 and all(2 * i in stay for i in range(200)), (n, found, len(want))
 
 
+def test_common_ends_leave_edit_distances_alone(spark):
+    r = random.Random(3)
+    pairs = [("", ""), ("a", ""), ("a", "a"), ("ab", "ba"), ("aaa", "aaaa"), ("é1é", "éé"), ("x" * 40000 + "y", "x" * 40000 + "z")]
+    for _ in range(2000):
+        a = [r.choice("aabé😀c ") for _ in range(r.randint(0, 30))]
+        b = list(a)
+        for _ in range(r.randint(0, 4) if b else 0):
+            b[r.randrange(len(b))] = r.choice(["", "q", "aa"])
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "ta string, tb string").withColumn("whole", F.levenshtein("ta", "tb"))
+    left = lines._differing(df).withColumn("rest", F.levenshtein("ta", "tb"))
+    assert left.filter("whole <> rest").count() == 0 and left.filter("whole > 0").count() > 1000
+    assert left.agg(F.max(F.length("ta"))).first()[0] < 40
+
+
 def test_lines_of_large_buckets(spark, monkeypatch):
     # all lines in one bucket, most of their words equal; each letter stands for a group
     monkeypatch.setattr(lines, "_samples", lambda worded: worded.select("h1", "len", F.lit(1).cast("long").alias("key")))
