@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lading.operators import agents, linetables, mailbox, records, selection, sheets
+from lading.operators import agents, linetables, mailbox, records, selection, sheets, tariffs
 from lading.plans.rates import table
 
 QUERIES: dict = {}
@@ -275,3 +275,20 @@ def word_lines(spark, sf_dir):
     at = F.explode(F.array(word(F.concat(F.lit("c"), F.col("l_suppkey").cast("string")), 60.0, 2.5), word(F.lit("b"), 22.0, 3.0), word(F.concat(F.lit("a"), F.col("l_partkey").cast("string")), 10.0, 0.5)))
     words = rows.select("doc_id", F.lit(1).alias("page"), at.alias("w")).select("doc_id", "page", "w.word", "w.left", "w.right", "w.bottom")
     return linetables.words_to_lines(words)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Maersk' WHEN o_orderkey % 5 > 0 THEN 'Hapag-Lloyd' END AS carrier, CASE o_orderkey % 4 WHEN 0 THEN 'Moín' WHEN 1 THEN 'Puerto Caldera' WHEN 2 THEN 'Colón' END AS port_of_exit,
+CASE WHEN o_orderkey % 7 < 3 THEN make_date(1998, 8, CAST(1 + o_orderkey % 9 AS INT)) WHEN o_orderkey % 7 = 3 THEN make_date(2027, 1, CAST(1 + o_orderkey % 9 AS INT)) END AS valid_from,
+CASE WHEN o_orderkey % 7 < 3 THEN DATE '1998-08-14' WHEN o_orderkey % 7 = 3 THEN DATE '2027-01-14' END AS valid_to, CASE WHEN o_orderkey % 2 = 0 THEN 'Diamond Tier' ELSE 'Marítimo' END AS route_mode FROM orders""")
+def tariff_hints(spark, sf_dir):
+    """Carrier, port of exit, validity and route mode that a tariff's name and text say."""
+    k, day = F.col("o_orderkey"), (1 + F.col("o_orderkey") % 9).cast("string")
+    name = F.when(k % 3 == 0, "MSK tariff.xlsx").otherwise("tariff.xlsx")
+    line = F.when(k % 5 > 0, "Hapag-Lloyd weekly").otherwise("weekly")
+    port = F.when(k % 4 == 0, "via Moín").when(k % 4 == 1, "vía Puerto Caldera").when(k % 4 == 2, "Colón").otherwise("inland")
+    dates = F.when(k % 7 < 3, F.concat(F.lit("Vigencia "), day, F.lit(" al 14 de AGOSTO"))).when(k % 7 == 3, F.concat(day, F.lit("-14 jan 2027"))).when(k % 7 == 4, "31 al 2 de mayo").otherwise("30 al 31 de febrero")
+    text = F.concat_ws("\n", line, port, dates, F.when(k % 2 == 0, "diamond tier"))
+    of = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), text.alias("text"))
+    valid = tariffs.tariff_validity(F.col("text"), now().cast("date"))
+    of = of.withColumn("valid", valid)
+    return of.select("o_orderkey", tariffs.tariff_carrier(F.col("name"), F.col("text")).alias("carrier"), tariffs.tariff_exit(F.col("name"), F.col("text")).alias("port_of_exit"), F.col("valid.start").alias("valid_from"), F.col("valid.end").alias("valid_to"), tariffs.route_mode(F.col("text")).alias("route_mode"))

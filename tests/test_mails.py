@@ -60,3 +60,14 @@ def test_pages_of_rows(spark):
     page, total = mailbox.page(mailbox.live(rows), [F.col("id")], 2, 1000)
     assert [r["id"] for r in page.collect()][:2] == [201, 203] and total.first()["total"] == 125
     assert mailbox.page(rows, [F.col("id")], 0, 0)[0].count() == 1
+
+
+def test_tariff_hints(spark):
+    from lading.operators import tariffs
+
+    rows = [("a.xlsx", "One rate, COSCO", "2026-03-01"), ("WHL.xlsx", "MSC 3 a 9 dec", "2026-03-01"), ("x", "Del 08 al 14 de AGOSTO 2025 vía Limón DT", "2026-03-01"), ("x", "5 al 6 enero", "2026-11-28"), ("x", "9 al 3 de mayo", "2026-03-01"), (None, None, "2026-03-01")]
+    df = spark.createDataFrame(rows, "name string, text string, now string").withColumn("now", F.to_date("now"))
+    v = tariffs.tariff_validity(F.col("text"), F.col("now"))
+    got = df.select(tariffs.tariff_carrier(F.col("name"), F.col("text")), tariffs.tariff_exit(F.col("name"), F.col("text")), v["start"].cast("string"), v["end"].cast("string"), tariffs.route_mode(F.col("text"))).collect()
+    sea = "Marítimo"
+    assert [tuple(r) for r in got] == [("ONE", None, None, None, sea), ("Wan Hai", None, "2025-12-03", "2025-12-09", sea), (None, "Puerto Limón", "2025-08-08", "2025-08-14", "Diamond Tier"), (None, None, "2027-01-05", "2027-01-06", sea), (None, None, None, None, sea), (None, None, None, None, sea)]
