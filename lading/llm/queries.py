@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lading.llm import (
     decontaminate,
+    hard_negatives,
     katz,
     lines,
     minhash,
@@ -26,8 +27,10 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_shard": sharding.op10_shard,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
