@@ -259,8 +259,8 @@ def mail_tables(spark, sf_dir):
 def document_hints(spark, sf_dir):
     """Carrier and free days that a whole text names."""
     k = F.col("o_orderkey")
-    who = F.when(k % 4 == 1, "rates by MSC here").when(k % 4 == 2, "our cma-cgm offer").when(k % 4 == 3, "MSC and Cosco").otherwise("none")
-    free = F.when(k % 3 == 0, F.concat((k % 30).cast("string"), F.lit(" days free"))).when(k % 3 == 1, "Días libres: 14").otherwise("")
+    who = F.when(k % 4 == 1, "rates by MSC here").when(k % 4 == 2, "our cma cgm offer, not cosco's").when(k % 4 == 3, "MSC and COSCO").otherwise("none")
+    free = F.when(k % 3 == 0, F.concat(F.lit("Free time at port: "), (k % 30).cast("string"), F.lit(" days"))).when(k % 3 == 1, "TIEMPO  LIBRE en destino 14 DÍAS").otherwise("")
     text = F.concat_ws("\n", who, free)
     return table(spark, sf_dir, "orders").select("o_orderkey", linetables.the_carrier(text).alias("carrier"), linetables.free_days(text).alias("free_days"))
 

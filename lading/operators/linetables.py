@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lading.functions.text import fold, header_key
+from lading.functions.text import header_key
 
 #: Words on one line differ by so many points from the line's first word; a wider gap than GAP parts columns.
 SAME_LINE, GAP = 3.0, 14.0
@@ -24,26 +24,51 @@ DELIMITERS = ("|", "\t", ";", ",")
 ALIGNED = r"(?:\t+| {2,})"
 NOISE = r"(?i)^\s*(page|p[áa]gina)\s*\d+(\s*(of|de)\s*\d+)?\s*$"
 TERMINATOR = r"(?i)^\s*(remarks?|notes?|notas?|observaciones|terms|conditions|condiciones|best regards|regards|saludos|from:|sent:|de:|enviado:)"
-# How carriers are written in running text.
-CARRIER_MARKS = {"CMA CGM": r"\bCMA[\s-]*CGM\b", "MSC": r"\bMSC\b", "MAERSK": r"\bMAERSK\b", "HAPAG-LLOYD": r"\bHAPAG\b", "ONE": r"\bOCEAN NETWORK EXPRESS\b", "COSCO": r"\bCOSCO\b", "EVERGREEN": r"\bEVERGREEN\b", "YANG MING": r"\bYANG\s*MING\b", "ZIM": r"\bZIM\b"}
-
-
-def words_to_lines(words: DataFrame) -> DataFrame:
-    """Lines of ``words(doc_id, page, word, left, right, bottom)`` from the top of each page down.
-
-    A word belongs to the line whose first word is within ``SAME_LINE`` of it in height; lines are found by a fold over the
-    page's words, as the tolerance is anchored at the first. A gap above ``GAP`` becomes three spaces, others one.
+# How carriers are written in running text; short names count in capitals only.
+CARRIER_MARKS = {
+    "CMA CGM": r"(?i)\bCMA\s*CGM\b",
+    "HAPAG-LLOYD": r"(?i)\bHAPAG(?:-|\s*)LLOYD\b",
+    "EVERGREEN": r"(?i)\bEVERGREEN\b",
+    "MAERSK": r"(?i)\bMAERSK\b",
+    "COSCO": r"\bCOSCO\b",
+    "OOCL": r"\bOOCL\b",
+    "MSC": r"\bMSC\b",
+    "PIL": r"\bPIL\b",
+    "ONE": r"\bONE\b",
+    "WHL": r"\bWHL\b",
+}
+# Fixed value: how free days are stated for a whole document.
+FREE_DAYS = r"(?iu)(?:tiempo\s+libre|free\s*time|free\s*days)[^\d]{0,100}(\d{1,3})\s*(?:d[ií]as?|days?)"
+
+
+def numbered_words(words: DataFrame) -> DataFrame:
+    """``words(doc_id, page, word, left, right, bottom)`` with the number of their ``line``, from the top of each page down.
+
+    A word belongs to the line whose first word is within ``SAME_LINE`` of it in height. As the tolerance is anchored at the
+    first word, a fold over the page's heights finds where lines begin; a page has some hundreds of them at most. Blank
+    words are left out.
     """
-    of = F.struct((-F.col("bottom")).alias("down"), "left", "right", "word")
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(of)).alias("ws"))
-    step = lambda acc, w: F.when(acc["n"].isNull() | (F.abs(w["down"] - acc["y"]) > SAME_LINE), F.struct((F.coalesce(acc["n"], F.lit(0)) + 1).alias("n"), w["down"].alias("y"), F.concat(acc["all"], F.array(F.coalesce(acc["n"], F.lit(0)) + 1)).alias("all"))).otherwise(F.struct(acc["n"].alias("n"), acc["y"].alias("y"), F.concat(acc["all"], F.array(acc["n"])).alias("all")))
-    start = F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("all"))
-    numbered = pages.withColumn("lines", F.aggregate("ws", start, step, lambda acc: acc["all"]))
-    flat = numbered.select("doc_id", "page", F.explode(F.arrays_zip("ws", "lines")).alias("x")).select("doc_id", "page", F.col("x.lines").alias("line"), "x.ws.left", "x.ws.right", "x.ws.word")
+    of = F.struct((-F.col("bottom")).alias("down"), "left", "right", F.trim("word").alias("word"))
+    pages = words.filter(F.trim("word") != "").groupBy("doc_id", "page").agg(F.collect_list(of).alias("ws"))
+    begins = lambda acc, y: F.coalesce(y - F.try_element_at(acc, F.lit(-1)) > SAME_LINE, F.size(acc) == 0)
+    heights = F.array_sort(F.array_distinct(F.transform("ws", lambda w: w["down"])))
+    anchors = F.aggregate(heights, F.array().cast("array<double>"), lambda acc, y: F.when(begins(acc, y), F.concat(acc, F.array(y))).otherwise(acc))
+    flat = pages.withColumn("anchors", anchors).select("doc_id", "page", "anchors", F.explode("ws").alias("w"))
+    line = F.size(F.filter("anchors", lambda a: a <= F.col("w.down")))
+    return flat.select("doc_id", "page", line.alias("line"), "w.left", "w.right", "w.word")
+
+
+def joined_lines(numbered: DataFrame) -> DataFrame:
+    """``doc_id, page, line, text`` of numbered words: a gap above ``GAP`` becomes three spaces, others one."""
     gap = F.col("left") - F.lag("right").over(Window.partitionBy("doc_id", "page", "line").orderBy("left", "right", "word"))
     joint = F.when(gap.isNull(), "").when(gap > GAP, "   ").otherwise(" ")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "word", "joint"))), lambda w: F.concat(w["joint"], w["word"])), "")
-    lines = flat.withColumn("joint", joint).groupBy("doc_id", "page", "line").agg(text.alias("text"))
+    return numbered.withColumn("joint", joint).groupBy("doc_id", "page", "line").agg(text.alias("text"))
+
+
+def words_to_lines(words: DataFrame) -> DataFrame:
+    """Lines of positioned words as ``doc_id, pos, text``, from the top of each page down."""
+    lines = joined_lines(numbered_words(words))
     return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line")) - 1).alias("pos"), "text")
 
 
@@ -144,14 +169,10 @@ def mail_tables(lines: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def the_carrier(text: Column) -> Column:
     """The carrier that a text names, if it names exactly one."""
-    folded = F.upper(fold(text))
-    found = F.array_compact(F.array(*[F.when(folded.rlike(p), F.lit(c)) for c, p in CARRIER_MARKS.items()]))
+    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(c)) for c, p in CARRIER_MARKS.items()]))
     return F.when(F.size(found) == 1, found[0])
 
 
 def free_days(text: Column) -> Column:
-    """Days said to be free for all rates of a text: ``21 days free``, ``free time: 14``, ``21 dias libres``."""
-    folded = F.lower(fold(text))
-    after = F.regexp_extract(folded, r"(\d{1,3})\s*(?:days?\s+(?:of\s+)?free|free\s+days?|dias?\s+libres?)", 1)
-    before = F.regexp_extract(folded, r"(?:free\s+(?:time|days?)|dias?\s+libres?)\s*[:=]?\s*(\d{1,3})\b", 1)
-    return F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit(""))).try_cast("int")
+    """Days said to be free for all rates of a text: ``Free time at destination: 21 days``, ``Tiempo libre 14 días``."""
+    return F.nullif(F.regexp_extract(text, FREE_DAYS, 1), F.lit("")).try_cast("int")

@@ -326,9 +326,35 @@ def job_events(spark, sf_dir) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in (("click", "claim"), ("view", "await_ai"), ("purchase", "ai_completed"), ("signup", "await_import"), ("error", "retry")) for x in pair])
     e = table(spark, sf_dir, "events")
     kind = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("review"))
-    return e.select(F.concat_ws("-", "user_id", F.to_date("ts").cast("string")).alias("job_id"), "ts", F.col("event_id").cast("string").alias("event_id"), kind.alias("type"), F.lit("r1").alias("request_id"), F.lit(None).cast("string").alias("error_code"))
-
-
-@query()
+    job = F.concat_ws("-", "user_id", F.to_date("ts").cast("string"))
+    request = F.when(F.col("event_id") % 5 > 0, "r1").otherwise("r2")
+    return e.select(job.alias("job_id"), "ts", F.col("event_id").cast("string").alias("event_id"), kind.alias("type"), request.alias("request_id"), F.lit("h1").alias("request_hash"), F.lit(None).cast("string").alias("error_code"), F.lit("w1").alias("owner"))
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS job_id, epoch_us(ts) AS us, CASE WHEN event_id % 5 > 0 THEN 'r1' ELSE 'r2' END AS request,
+    CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'await_ai' WHEN 'purchase' THEN 'ai_completed' WHEN 'signup' THEN 'await_import' WHEN 'error' THEN 'retry' ELSE 'review' END AS kind,
+    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM events),
+s AS (
+  SELECT DISTINCT job_id, 0::BIGINT AS n, 'Pending' AS status, 0 AS attempts, NULL::VARCHAR AS request_id, NULL::VARCHAR AS error_code, NULL::BIGINT AS lease, NULL::BIGINT AS wait, 0 AS refused, 0 AS ignored FROM e
+  UNION ALL
+  SELECT job_id, n, CASE WHEN did <> 'moved' THEN status WHEN kind = 'retry' AND attempts >= 3 THEN 'Failed' ELSE target END, attempts + (did = 'moved' AND kind = 'claim')::INT,
+    CASE WHEN did = 'moved' AND kind = 'await_ai' THEN request ELSE request_id END, CASE WHEN did = 'moved' THEN NULL ELSE error_code END,
+    CASE WHEN did <> 'moved' THEN lease WHEN kind = 'claim' THEN us + 600000000 END, CASE WHEN did <> 'moved' THEN wait WHEN kind = 'retry' AND attempts < 3 THEN us + 30000000 END,
+    refused + (did = 'refused')::INT, ignored + (did = 'ignored')::INT
+  FROM (
+    SELECT *, CASE WHEN kind = 'ai_completed' AND (request_id IS NULL OR request_id <> request) THEN 'refused'
+        WHEN kind = 'ai_completed' AND status IN ('AwaitingPricing', 'SentToPricing', 'NeedsReview') THEN 'ignored'
+        WHEN kind = 'claim' AND status = 'Pending' AND (wait IS NULL OR wait <= us) THEN 'moved'
+        WHEN kind = 'await_ai' AND status = 'Extracting' OR kind = 'ai_completed' AND status IN ('AwaitingAi', 'ValidatingAiResult') OR kind = 'await_import' AND status IN ('ValidatingAiResult', 'Extracting')
+          OR kind = 'retry' AND status = 'Extracting' OR kind = 'review' AND status IN ('Pending', 'Extracting', 'AwaitingAi', 'ValidatingAiResult', 'AwaitingPricing') THEN 'moved' ELSE 'refused' END AS did,
+      CASE kind WHEN 'claim' THEN 'Extracting' WHEN 'await_ai' THEN 'AwaitingAi' WHEN 'ai_completed' THEN 'ValidatingAiResult' WHEN 'await_import' THEN 'AwaitingPricing' WHEN 'retry' THEN 'Pending' ELSE 'NeedsReview' END AS target
+    FROM (
+      SELECT e.job_id, e.n, e.us, e.kind, e.request, s.request_id, s.attempts, s.refused, s.ignored, gone,
+        CASE WHEN NOT gone THEN s.status WHEN s.attempts >= 3 THEN 'Failed' ELSE 'Pending' END AS status, CASE WHEN gone THEN 'DataExtraction.ExtractionLeaseExpired' ELSE s.error_code END AS error_code,
+        CASE WHEN NOT gone THEN s.lease END AS lease, CASE WHEN NOT gone THEN s.wait WHEN s.attempts < 3 THEN s.lease END AS wait
+      FROM (SELECT s.*, e.us AS seen, coalesce(s.status = 'Extracting' AND s.lease < e.us, false) AS gone FROM s JOIN e ON e.job_id = s.job_id AND e.n = s.n + 1) s JOIN e ON e.job_id = s.job_id AND e.n = s.n + 1) x) y)
+SELECT job_id, status, attempts, request_id, CASE WHEN request_id IS NOT NULL THEN 'h1' END AS request_hash, error_code, CASE WHEN lease IS NOT NULL THEN 'w1' END AS owner, lease AS lease_until, wait AS next_attempt, refused, ignored
+FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1""")
 def job_replay(spark, sf_dir):
     return jobs.replay(job_events(spark, sf_dir))

@@ -7,12 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lading import mail_queries, queries
+from lading import mail_queries, page_queries, queries
 from lading.functions import text as tx
 from lading.functions import values as v
 from lading.operators import records, resolution, sheets
 from lading.sources import delimited, mail, workbook
-from lading.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -103,40 +102,9 @@ def test_workbook(spark):
     assert [(r["sheet_name"], r["row_number"], [(c["header"], c["value"]) for c in r["cells"]]) for r in got] == [("S", 4, [("POL", "X"), ("POD", "5")])]
 
 
-def test_job_states():
-    def after(*kinds, code=None, request="r"):
-        s = jobs.start("j")
-        for k in kinds:
-            s = jobs.step(s, {"type": k, "request_id": request, "error_code": code})
-        return s
-
-    happy = after("claim", "await_ai", "ai_started", "ai_completed", "await_import", "import_completed")
-    assert happy["status"] == "SentToPricing" and happy["attempts"] == 1 and not happy["refused"]
-    late = after("claim", "await_ai", "ai_started", "ai_completed", "await_import", "ai_started")
-    assert late["status"] == "AwaitingPricing" and late["ignored"] == 1
-    reopened = after("claim", "await_ai", "ai_failed", "ai_completed", code=jobs.LEASE_LOST)
-    assert reopened["status"] == "ValidatingAiResult" and reopened["error_code"] is None
-    assert after("claim", "await_ai", "retry")["refused"] == 1
-    other = jobs.step(after("claim", "await_ai"), {"type": "ai_completed", "request_id": "other", "error_code": None})
-    assert other["status"] == "AwaitingAi" and other["refused"] == 1
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    if not Path(SF).exists():
-        pytest.skip("no test data")
-    events = queries.job_events(spark, SF).limit(300).cache()
-    rows = events.orderBy("ts", "event_id").collect()
-    for k in range(3):
-        spark.createDataFrame(rows[k * 100 : k * 100 + 100], events.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = jobs.run_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"))
-    q = stream.writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("job_states").collect()}
-    want = {tuple(r) for r in jobs.replay(events).collect()}
-    assert want <= got and {r[0] for r in got} == {r[0] for r in want}
-
-
-QUERIES, ORACLE_SQL = queries.QUERIES | mail_queries.QUERIES, queries.ORACLE_SQL | mail_queries.ORACLE_SQL
+PARTS = (queries, mail_queries, page_queries)
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in PARTS for k, v in p.ORACLE_SQL.items()}
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
