@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql.window import Window
 from lading.llm.common import scratch, ship, staged
 
 #: Ways of a digit: a pass cuts each open range of scores into so many.
-BINS = 512
+BINS = 64
+#: What a task needs to know of a window.
+WINDOW = ("anchor", "w", "lo", "hi", "step", "top", "tie_block", "tie_left")
 #: Rows and bytes of vectors in a block, and anchors in a block of anchors. They bound a task's memory, not the result.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_ANCHORS = 16384, 4 << 20, 256
 #: Scores beyond this saturate, so that their hundredfold is a long.
@@ -63,64 +66,71 @@ def _numbers(values: bytes) -> np.ndarray:
     return np.frombuffer(values, np.int64)
 
 
-def _windows(pair: pd.DataFrame, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, int]]]:
-    """For each window of a pair of blocks: the anchor, the scores and ids of rows with a label as asked, the window."""
-    p = pair.iloc[0]
-    ids, labels = _numbers(p["ids"]), _numbers(p["labels"])
-    anchors = pd.DataFrame({c: np.asarray(p[c]) for c in ("anchor", "alabel", "w", "lo", "hi", "step", "top", "tie_block", "tie_left")})
-    vectors = np.array([*map(list, p["aq"])], np.int64).reshape(len(anchors), int(p["dim"]))
-    first = ~anchors["anchor"].duplicated().to_numpy()
-    rows = dict(zip(anchors["anchor"][first].tolist(), _scores(vectors[first], _numbers(p["q"]).reshape(len(ids), int(p["dim"])))))
-    for (anchor, label), own in anchors.groupby(["anchor", "alabel"], sort=False):
+def _windows(pair: Any, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[dict[str, int]]]]:
+    """For each anchor of a pair of blocks: the scores and ids of rows with a label as asked, and its windows."""
+    ids, labels = _numbers(pair.ids), _numbers(pair.labels)
+    anchors, own_labels = _numbers(pair.anchors), _numbers(pair.alabels)
+    windows = pd.DataFrame({c: np.asarray(getattr(pair, c)) for c in WINDOW}).groupby("anchor", sort=False)
+    wanted = np.isin(anchors, list(windows.groups))
+    scores = _scores(_numbers(pair.aq).reshape(len(anchors), pair.dim)[wanted], _numbers(pair.q).reshape(len(ids), pair.dim))
+    for anchor, label, row in zip(anchors[wanted].tolist(), own_labels[wanted].tolist(), scores):
         fits = (labels == label) & (ids != anchor) if same else labels != label
-        scores, others = rows[anchor][fits], ids[fits]
-        for window in own.to_dict("records"):
-            yield anchor, scores, others, window
+        yield anchor, row[fits], ids[fits], windows.get_group(anchor).to_dict("records")
 
 
-def _histograms(pair: pd.DataFrame, same: bool) -> pd.DataFrame:
+def _histograms(pair: Any, same: bool) -> pd.DataFrame:
     """Rows for each bin of each open window; bin 0 has the highest scores. The last digit is counted by block as well."""
-    out: dict[str, list] = {"anchor": [], "w": [], "bin": [], "block": [], "n": []}
-    block, last, ordered = int(pair["block"].iloc[0]), None, None
-    for anchor, scores, _, x in _windows(pair, same):
-        if anchor != last:
-            last, ordered = anchor, np.sort(scores)
-        at = slice(*np.searchsorted(ordered, [x["lo"], x["hi"] + 1]))
-        if at.start == at.stop:
-            continue
-        bins, n = np.unique((x["hi"] - ordered[at]) // x["step"], return_counts=True)
-        out["bin"] += bins.tolist()
-        out["n"] += n.tolist()
-        for name, value in (("anchor", anchor), ("w", x["w"]), ("block", block if x["step"] == 1 else -1)):
-            out[name] += [value] * len(bins)
-    return pd.DataFrame(out)
-
-
-def _gathered(pair: pd.DataFrame, same: bool) -> pd.DataFrame:
+    out: list[np.ndarray] = []
+    for anchor, scores, _, windows in _windows(pair, same):
+        scores = np.sort(scores)
+        for x in windows:
+            edges = x["hi"] - x["step"] * np.arange(BINS + 1)  # bin k holds the scores in (edges[k + 1], edges[k]]
+            edges[-1] = x["lo"] - 1
+            edges = np.maximum(edges, x["lo"] - 1)
+            n = -np.diff(np.searchsorted(scores, edges, "right"))
+            bins = np.flatnonzero(n)
+            block = pair.block if x["step"] == 1 else -1
+            out.append(np.stack([np.full_like(bins, anchor), np.full_like(bins, x["w"]), bins, np.full_like(bins, block), n[bins]], 1))
+    cells = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+    return pd.DataFrame(cells, columns=["anchor", "w", "bin", "block", "n"])
+
+
+def _gathered(pair: Any, same: bool) -> pd.DataFrame:
     """Rows above the least score of each window, and those at it that come first by block and id."""
-    found, block = [], int(pair["block"].iloc[0])
-    for anchor, scores, others, x in _windows(pair, same):
-        at = np.flatnonzero((scores > x["lo"]) & (scores <= x["top"]))
-        if block <= x["tie_block"]:
-            ties = np.flatnonzero(scores == x["lo"])  # ids ascend inside a block
-            at = np.concatenate([at, ties if block < x["tie_block"] else ties[: x["tie_left"]]])
-        found.append(pd.DataFrame({"anchor": anchor, "w": x["w"], "other": others[at], "score": scores[at]}))
-    return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("anchor", "w", "other", "score")})
-
-
-def _over_blocks(blocks: DataFrame, state: DataFrame, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """``work`` for each pair of a block of rows and a block of anchors with the same dimension. A window goes to every
-    block of rows, a block of rows to one place, where all blocks of anchors meet it one after another."""
-    inner = ["anchor", "alabel", "aq", "w", "lo", "hi", "step", "top", "tie_block", "tie_left"]
-    packs = state.groupBy("dim", "pack").agg(F.collect_list(F.struct(*inner)).alias("x"))
-    packs = packs.select("dim", "pack", *[F.col(f"x.{c}").alias(c) for c in inner])
-    pairs = blocks.select("dim", "block").join(packs.select("dim", "pack"), "dim")
-    sent = pairs.join(packs, ["dim", "pack"])
+    out = [np.zeros((0, 4), np.int64)]
+    for anchor, scores, others, windows in _windows(pair, same):
+        for x in windows:
+            at = np.flatnonzero((scores > x["lo"]) & (scores <= x["top"]))
+            if pair.block <= x["tie_block"]:
+                ties = np.flatnonzero(scores == x["lo"])  # ids ascend inside a block
+                at = np.concatenate([at, ties if pair.block < x["tie_block"] else ties[: x["tie_left"]]])
+            out.append(np.stack([np.full_like(at, anchor), np.full_like(at, x["w"]), others[at], scores[at]], 1))
+    return pd.DataFrame(np.concatenate(out), columns=["anchor", "w", "other", "score"])
+
+
+def _packed_anchors(pack: pd.DataFrame) -> pd.DataFrame:
+    q = np.array([*map(list, pack["q"])], np.int64)
+    return pd.DataFrame({"dim": [int(pack["dim"].iloc[0])], "pack": [int(pack["pack"].iloc[0])], "anchors": [pack["id"].to_numpy(np.int64).tobytes()], "alabels": [pack["label"].to_numpy(np.int64).tobytes()], "aq": [q.tobytes()]})
+
+
+def _over_blocks(blocks: DataFrame, packs: DataFrame, state: DataFrame, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` for each pair of a block of rows and a pack of anchors with the same dimension. A pack and its windows go
+    to every block of rows; a block of rows moves once and meets the packs one after another."""
+    open_ = state.groupBy("dim", "pack").agg(F.collect_list(F.struct(*WINDOW)).alias("x"))
+    open_ = open_.select("dim", "pack", *[F.col(f"x.{c}").alias(c) for c in WINDOW])
+    pairs = blocks.select("dim", "block").join(open_.select("dim", "pack"), "dim")
+    sent = pairs.join(open_, ["dim", "pack"]).join(packs, ["dim", "pack"])
     both = sent.join(blocks.drop("dim"), "block")
-    return both.groupBy("block", "pack").applyInPandas(work, schema)
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples():
+                yield work(pair)
 
-def _selected(blocks: DataFrame, windows: DataFrame, same: bool) -> DataFrame:
+    return both.mapInPandas(each, schema)
+
+
+def _selected(blocks: DataFrame, packs: DataFrame, windows: DataFrame, same: bool) -> DataFrame:
     """The first ``need`` rows of each window ``(anchor, w, lo, hi, need, ...)``, by score and then id: ``FOUND``.
 
     Each pass counts scores by the next digit, takes the bin that holds the last row needed as the new range, and ends
@@ -133,7 +143,7 @@ def _selected(blocks: DataFrame, windows: DataFrame, same: bool) -> DataFrame:
     left = step(windows.filter("lo <= hi").withColumn("top", F.col("hi"))).select("*", *none)
     left, done = staged(left, "open"), []
     while left.limit(1).count():
-        cells = _over_blocks(blocks, left, lambda pair: _histograms(pair, same), CELLS).groupBy(*key, "bin", "block").agg(F.sum("n").alias("n"))
+        cells = _over_blocks(blocks, packs, left, lambda pair: _histograms(pair, same), CELLS).groupBy(*key, "bin", "block").agg(F.sum("n").alias("n"))
         cells = cells.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bin", "block")))
         found = cells.join(left.select(*key, "need"), key).filter("upto >= need and upto - n < need")
         found = found.select(*key, "bin", "block", (F.col("need") - F.col("upto") + F.col("n")).alias("rest"))
@@ -157,7 +167,7 @@ def _selected(blocks: DataFrame, windows: DataFrame, same: bool) -> DataFrame:
         return blocks.sparkSession.createDataFrame([], FOUND)
     for more in done[1:]:
         done[0] = done[0].unionByName(more)
-    return staged(_over_blocks(blocks, done[0], lambda pair: _gathered(pair, same), FOUND), "gathered")
+    return staged(_over_blocks(blocks, packs, done[0], lambda pair: _gathered(pair, same), FOUND), "gathered")
 
 
 def hard_negatives(
@@ -197,20 +207,22 @@ def _hard_negatives(df: DataFrame, anchors: Column, id_column: str, vector_colum
 
     chosen = df.filter(anchors).select(F.col(id_column).cast("long").alias("id")).filter("id is not null").distinct()
     chosen = staged(base.join(chosen, "id").withColumn("norm", norm), "anchors")
-    packs = max(1, math.ceil(chosen.count() / BLOCK_ANCHORS))
-    own = chosen.select(F.col("id").alias("anchor"), F.col("label").alias("alabel"), F.col("q").alias("aq"), "dim", F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack"), "norm")
+    n_packs = max(1, math.ceil(chosen.count() / BLOCK_ANCHORS))
+    chosen = chosen.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(n_packs)))
+    packs = staged(chosen.groupBy("dim", "pack").applyInPandas(_packed_anchors, "dim int, pack long, anchors binary, alabels binary, aq binary"), "packs")
+    own = chosen.select(F.col("id").alias("anchor"), "dim", "pack", "norm")
     bound = F.least(F.lit(float(MOST_SCORE)), F.col("norm") * F.lit(float(longest or 0)) * 1.000001 + 1).cast("long")
-    own = staged(own.withColumn("bound", bound).drop("norm"), "anchors-packed")
+    own = own.withColumn("bound", bound).drop("norm")
 
-    windows = own.select("anchor", "alabel", "aq", "dim", "pack", F.lit(0).alias("w"), (-F.col("bound")).alias("lo"), F.col("bound").alias("hi"), F.lit(n_positives).cast("long").alias("need"))
-    positives = _selected(blocks, windows, True)
+    windows = own.select("anchor", "dim", "pack", F.lit(0).alias("w"), (-F.col("bound")).alias("lo"), F.col("bound").alias("hi"), F.lit(n_positives).cast("long").alias("need"))
+    positives = _selected(blocks, packs, windows, True)
     turn = Window.partitionBy("anchor").orderBy(F.desc("score"), "other")
     positives = staged(positives.select("anchor", F.row_number().over(turn).alias("w"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     low = F.expr(f"(positive_score * {least} + 99 - pmod(positive_score * {least} + 99, 100)) div 100")
     high = F.expr(f"(positive_score * {most} - pmod(positive_score * {most}, 100)) div 100")
-    windows = positives.join(own.drop("bound"), "anchor").select("anchor", "alabel", "aq", "dim", "pack", "w", low.alias("lo"), high.alias("hi"), F.lit(n_negatives).cast("long").alias("need"))
-    found = _selected(blocks, windows, False)
+    windows = positives.join(own.drop("bound"), "anchor").select("anchor", "dim", "pack", "w", low.alias("lo"), high.alias("hi"), F.lit(n_negatives).cast("long").alias("need"))
+    found = _selected(blocks, packs, windows, False)
     rank = Window.partitionBy("anchor", "w").orderBy(F.desc("score"), "other")
     found = found.withColumn("rank", F.row_number().over(rank)).join(positives, ["anchor", "w"])
     return found.select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
