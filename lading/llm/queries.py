@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from lading.llm import (
     decontaminate,
+    filter_audit,
     hard_negatives,
     katz,
+    licenses,
     lines,
     minhash,
     mixing,
@@ -28,9 +30,12 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_shard": sharding.op10_shard,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_license_scan": licenses.op12_license_scan,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
