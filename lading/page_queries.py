@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lading.mail_queries import made, plain
-from lading.operators import wordtables
+from lading.operators import replies, wordtables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +60,30 @@ UNION ALL SELECT doc_id, row_number, 'Free Time', '21 days' FROM numbered WHERE
 def visual_tariffs(spark, sf_dir):
     """Rates in tariffs whose columns are known by the places of words only."""
     return wordtables.tariff_tables(tariff_words(spark, sf_dir)).select("doc_id", F.col("row_number").cast("long").alias("row_number"), "header", "value")
+
+
+#: Replies of a model for each order, with « and » for the braces of JSON: plain, fenced, as a string, as an array, as one object, in envelopes, cut off, and with JSON in a string.
+REPLIES = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 900 AS INT) AS n FROM {orders}),
+  r AS (SELECT k, '«"' || CASE WHEN k % 3 = 0 THEN 'pol' WHEN k % 3 = 1 THEN 'Port_of Loading' ELSE 'puertoOrigen' END || '":" P' || CAST(n AS STRING) || ' ","poe":"Moin","size":"40HC","oceanFreight":"USD 1.' || CAST(100 + n AS STRING) || '","freeTime":"14 days","rate":5,"validFrom":"2026-08-01","validTo":"2026-08-3' || CASE WHEN k % 5 = 0 THEN '9' ELSE '1' END || '"»' AS r1,
+    '«"note":[1,«"a":2»],"origin":"' || CASE WHEN k % 4 = 0 THEN ' ' ELSE 'Q' || CAST(n AS STRING) END || '","destination":true,"finalDestination":"San Jose","equipment":20,"moneda":"EUR","totalSale":' || CAST(n AS STRING) || '.50,"transit":7.5,"cost":"(' || CAST(n AS STRING) || ',5)","vigencia":"2026-08-01 to 2026-08-15"»' AS r2 FROM o),
+  b AS (SELECT k, r1, r2, '«"rows":[' || r1 || ',7,' || r2 || '],"confidence":0.8,"warnings":["late",""," late","early"],"success":"0"»' AS body FROM r)
+SELECT k AS reply_id, replace(replace(CASE k % 8 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || '«"Data":«"pricing_rows":[' || r2 || '],"score":"91"»»' || chr(10) || '```' WHEN 2 THEN '"' || replace(body, '"', chr(92) || '"') || '"' WHEN 3 THEN '[' || r1 || ',' || r2 || ']'
+  WHEN 4 THEN '  ' || r1 WHEN 5 THEN '«"result":«"output":«"response":«"rates":[' || r1 || ']»»»»' WHEN 6 THEN '«"rows":[' || r1 ELSE '«"payload":"' || replace('«"items":«"tariffs":[' || r2 || ']»»', '"', chr(92) || '"') || '"»' END, '«', chr(123)), '»', chr(125)) AS content FROM b"""
+
+
+@query(f"""WITH c AS (SELECT reply_id, trim(regexp_replace(regexp_replace(content, '^```json', ''), '```$', ''), ' ' || chr(10)) AS c FROM ({plain(REPLIES)})),
+s AS (SELECT reply_id, CASE WHEN c LIKE '"%' THEN json_extract_string(c, '$') ELSE c END AS c FROM c WHERE json_valid(c)),
+e AS (SELECT reply_id, coalesce(json_extract(c, '$.Data.pricing_rows'), json_extract(c, '$.result.output.response.rates'), json_extract(json_extract_string(c, '$.payload'), '$.items.tariffs'), json_extract(c, '$.rows'), CASE WHEN c LIKE '[%' THEN CAST(c AS JSON) ELSE json_array(CAST(c AS JSON)) END) AS rows FROM s),
+u AS (SELECT reply_id, generate_subscripts(x, 1) AS n, unnest(x) AS r FROM (SELECT reply_id, list_filter(CAST(rows AS JSON[]), lambda v: json_type(v) = 'OBJECT') AS x FROM e)),
+f AS (SELECT *, json_extract_string(r, '$.origin') IS NOT NULL AS second FROM u)
+SELECT reply_id, CAST(n AS INT) AS row_number, nullif(trim(coalesce(json_extract_string(r, '$.pol'), json_extract_string(r, '$."Port_of Loading"'), json_extract_string(r, '$.puertoOrigen'), json_extract_string(r, '$.origin'))), '') AS origin_port,
+  CASE WHEN NOT second THEN 'Moin' END AS port_of_exit, CASE WHEN second THEN 'San Jose' END AS destination_port, CASE WHEN second THEN '20' ELSE '40HC' END AS container_type, CASE WHEN second THEN 'EUR' ELSE 'USD' END AS currency,
+  CASE WHEN NOT second THEN 14 END AS free_days, CASE WHEN second THEN 8 END AS transit_days, CAST(regexp_replace(json_extract_string(r, '$.oceanFreight'), '[^0-9]', '', 'g') AS DOUBLE) AS ocean_freight,
+  -CAST(replace(trim(json_extract_string(r, '$.cost'), '()'), ',', '.') AS DOUBLE) AS total_cost, CAST(json_extract_string(r, '$.totalSale') AS DOUBLE) AS total_sale, DATE '2026-08-01' AS valid_from,
+  CASE WHEN second THEN DATE '2026-08-15' ELSE try_cast(json_extract_string(r, '$.validTo') AS DATE) END AS valid_to FROM f""")
+def reply_rates(spark, sf_dir):
+    """Typed rates out of replies in eight shapes."""
+    read = replies.read_replies(made(spark, sf_dir, REPLIES, "orders"))
+    rows = replies.reply_rows(read, 2026)
+    money = [F.col(c).cast("double").alias(c) for c in ("ocean_freight", "total_cost", "total_sale")]
+    return rows.select("reply_id", "row_number", "origin_port", "port_of_exit", "destination_port", "container_type", "currency", "free_days", "transit_days", *money, "valid_from", "valid_to")
