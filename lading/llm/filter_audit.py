@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -15,15 +16,25 @@ MASKS = range(1 << len(FILTERS))
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows that share document and text are dealt to so many places at most, by the part of the input that holds them.
+PLACES = 16
+
+
 def word_totals(docs: DataFrame) -> DataFrame:
     """``doc, print, n_words, n_distinct`` by ``doc`` and ``print``, a hash of the text; ``docs``: ``doc, print, text``.
 
-    Words are exploded and counted by document and word, then by document. Rows that share both keys hold one text; their
-    words count as often as there are rows. Documents without words are not there.
+    Words are exploded and counted by document and word, then by document. Texts move before their words are exploded, so
+    that both counts find a document's words in one place: words are many times the rows, with a long key each. Rows that
+    share both keys hold one text; their words count as often as there are rows. Documents without words are not there.
     """
-    words = docs.select("doc", "print", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("doc", "print", "word").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc", "print").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    spark = docs.sparkSession
+    key = ["doc", "print", "place"]
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc", "print", (F.spark_partition_id() % PLACES).alias("place"), "text").repartition(parts, *key)
+    words = dealt.select(*key, F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    counts = words.groupBy(*key, "word").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*key).agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    return totals.groupBy("doc", "print").agg(F.sum("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def failures(docs: DataFrame, least_words: int = 200, least_distinct_percent: int = 50, most_capital_percent: int = 3, symbols: str = "#$%&*|") -> DataFrame:
@@ -39,7 +50,7 @@ def failures(docs: DataFrame, least_words: int = 200, least_distinct_percent: in
     base = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     base = base.withColumn("print", F.xxhash64("text"))
     capitals = F.length("text") - F.length(F.translate("text", CAPITALS, ""))
-    held = F.length(F.translate("text", symbols, "")) < F.length("text")
+    held = F.col("text").rlike("[" + re.escape(symbols) + "]")
     flags = base.select("doc", "part", "print", F.unhex(F.sha2("text", 256)).alias("whole"), (100 * capitals > most_capital_percent * F.length("text")).alias("c"), held.alias("d"))
     # one row for each document and text: what repeated rows share is joined once
     flags = staged(flags.groupBy("doc", "print", "whole", "part", "c", "d").agg(F.count("*").alias("rows")), "flags")
