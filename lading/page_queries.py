@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lading.mail_queries import made, plain
-from lading.operators import replies, wordtables
+from lading.operators import bodies, replies, wordtables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,3 +87,25 @@ def reply_rates(spark, sf_dir):
     rows = replies.reply_rows(read, 2026)
     money = [F.col(c).cast("double").alias(c) for c in ("ocean_freight", "total_cost", "total_sale")]
     return rows.select("reply_id", "row_number", "origin_port", "port_of_exit", "destination_port", "container_type", "currency", "free_days", "transit_days", *money, "valid_from", "valid_to")
+
+
+#: Mails as text and HTML: an offer below a request, in HTML only, as a table of one cell a line, below an old offer, or none.
+THREADS = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 5 AS INT) AS kind, chr(10) AS nl, 'Pls consider the rate USD ' || CAST(1000 + o_orderkey % 900 AS STRING) || ' per 40HC' AS head FROM {orders}),
+  p AS (SELECT *, 'space is tight' || nl || '> ' || head || nl || 'with validity 31/08/2026' || nl || 'POL: Shanghai /' || nl || 'Ningbo' || nl || 'POD: Moin' AS offer, 'Please quote' || nl || 'POL: X' || nl || 'POD: Y 40HC' AS request,
+    'Please consider rate USD 7 POL: A POD: B carrier validity 40HC' AS old FROM o)
+SELECT k AS message_id, CASE kind WHEN 0 THEN request || nl || 'From: bob' || nl || offer || nl || 'Regards' || nl || 'Bob USD 9' || nl || 'Sent: today' || nl || old || nl || old
+  WHEN 1 THEN request WHEN 2 THEN 'Dear all' || nl || '___' || nl || 'POL' || nl || 'POD' || nl || 'Carrier' || nl || '40HC' || nl || 'Validity' || nl || 'Sha' || nl || 'Moin' || nl || 'MSC' || nl || 'USD ' || CAST(k AS STRING) || nl || '1-Aug'
+  WHEN 3 THEN 'On Monday bob wrote:' || nl || 'see below' END AS body_text,
+  CASE kind WHEN 1 THEN '<style>p</style><p>Hi &amp; bye</p><div>' || replace(offer, nl, '<br>') || '</div>' WHEN 2 THEN '<p>' || old || '</p><p>' || old || '</p>' WHEN 3 THEN '<table><tr><td>POL</td><td>POD</td><td>USD&nbsp;5 ' || CAST(k AS STRING) || '</td></tr></table>' WHEN 4 THEN CASE WHEN k % 2 = 0 THEN ' ' END END AS body_html FROM p"""
+
+
+@query(f"""WITH m AS ({plain(THREADS)}), o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind FROM orders),
+c AS (SELECT message_id, kind, CASE kind WHEN 1 THEN regexp_replace(regexp_replace(body_html, '.*<div>', ''), '</div>.*', '') WHEN 0 THEN regexp_extract(body_text, '(space is tight[^$]*?)\nRegards', 1) END AS offer, body_text, body_html FROM m JOIN o ON k = message_id),
+f AS (SELECT message_id, kind, CASE WHEN kind < 2 THEN regexp_replace(replace(replace(replace(replace(replace(offer, '<br>', chr(10)), '> ', ''), chr(10) || 'with', ' with'), '/' || chr(10), '/'), chr(10) || chr(10), chr(10)), '\s+$', '')
+  WHEN kind = 2 THEN regexp_extract(body_text, '(POL\n[^$]*)$', 1) WHEN kind = 3 THEN 'POL POD USD 5 ' || CAST(message_id AS VARCHAR) ELSE '' END AS body FROM c)
+SELECT message_id, CASE WHEN kind IN (0, 2) THEN 'text' WHEN kind IN (1, 3) THEN 'html' END AS source, body, CAST(CASE WHEN kind < 4 THEN
+  8 * least(12, len(regexp_extract_all(body, 'USD [0-9]'))) + 14 * (body LIKE '%POL%')::INT + 14 * (body LIKE '%POD%')::INT + 8 * (body LIKE '%Carrier%')::INT + 10 * (body LIKE '%40HC%')::INT + 10 * (lower(body) LIKE '%validity%')::INT
+  + 140 * (body LIKE '%consider the rate%')::INT + 8 * (body LIKE '%POL:%')::INT + 8 * (body LIKE '%POD:%')::INT ELSE 0 END AS INT) AS score FROM f""")
+def thread_bodies(spark, sf_dir):
+    """The offer in each mail, out of its text or HTML and its thread."""
+    return bodies.preferred_bodies(made(spark, sf_dir, THREADS, "orders"))
