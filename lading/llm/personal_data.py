@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import ship, staged
+from lading.llm.common import fresh, ship, staged
 
 #: Kinds in the order of ties; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "secret")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# what begins a run of digits or letters is looked for at its start only, so that long runs are read once
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WIDE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[A-Za-z0-9-]+)+", re.I), ("at]", "at)", "at}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[A-Za-z0-9-]+)+", re.I), ("at]", "at)", "at}")),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), (":",)),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])00[1-9](?:[ .()-]?[0-9]){8,12}(?![0-9A-Za-z])"), None),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])"), None),
@@ -192,11 +193,13 @@ def detect(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
     pattern of votes, over all rows: at most 5 * 243 numbers come to the driver.
 
     Nulls: a null text counts as empty. Repeated rows give repeated results and count each in learning. Without any
-    candidate, the model says no. Columns named like the results are replaced.
+    candidate, the model says no; an empty table gives an empty result. Columns named like the results are replaced, others
+    pass through whatever they are called.
     """
     spark = docs.sparkSession
     ship(spark)
     names = [c for c in docs.columns if c not in (text_col, "base", "more", "spans", *(f"n_{k}" for k in KINDS[:4]))]
+    (both_,) = fresh(docs, "_s")
 
     @F.pandas_udf(f"struct<base:{SPAN},more:{SPAN}>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -205,7 +208,7 @@ def detect(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
             both = [find(t) for t in batch]
             yield pd.DataFrame({"base": [cells(b) for b, _ in both], "more": [cells(m) for _, m in both]})
 
-    rows = staged(docs.select(*names, spans(F.col(text_col).cast("string")).alias("_s")).select(*names, "_s.base", "_s.more"), "spans")
+    rows = staged(docs.select(*names, spans(F.col(text_col).cast("string")).alias(both_)).select(*names, f"{both_}.base", f"{both_}.more"), "spans")
     seen = rows.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
     counts = {(r["kind"], r["votes"]): float(r["n"]) for r in seen}
     accepted: list[int] = []
