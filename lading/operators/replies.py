@@ -234,16 +234,16 @@ def read_replies(replies: DataFrame) -> DataFrame:
 
 
 def reply_rows(read: DataFrame, year: int) -> DataFrame:
-    """A typed record per row of ``read_replies``: texts, whole days, amounts as decimal(18, 4) and the validity. A currency
+    """A typed record per row of ``read_replies``: texts, whole days, amounts as decimal(18, 4) and the validity, with the reply's warnings. A currency
     that is not named is taken from a price's text."""
-    flat = read.select("reply_id", F.posexplode_outer("rows").alias("row_number", "node")).filter("node is not null").withColumn("own", fields(F.col("node")))
+    flat = read.select("reply_id", "warnings", F.posexplode_outer("rows").alias("row_number", "node")).filter("node is not null").withColumn("own", fields(F.col("node")))
     names = TEXTS | WHOLE | AMOUNTS | {"priced_in": PRICED_IN, "low": VALID_FROM, "high": VALID_TO, "both": VALIDITY}
-    found = flat.select("reply_id", (F.col("row_number") + 1).alias("row_number"), *[pick(F.col("own"), n).alias(k) for k, n in names.items()])
+    found = flat.select("reply_id", "warnings", (F.col("row_number") + 1).alias("row_number"), *[pick(F.col("own"), n).alias(k) for k, n in names.items()])
     shown = F.when(F.col("priced_in.kind") == "STRING", F.col("priced_in.text"))
     out = {k: _text(F.col(k)) for k in TEXTS} | {k: _whole(F.col(k)) for k in WHOLE} | {k: values.let(_amount(F.col(k)), values.fits) for k in AMOUNTS}
     out["currency"] = F.coalesce(out["currency"], F.upper(F.nullif(F.regexp_extract(shown, CURRENCY, 1), F.lit(""))))
     valid = validity(*[_text(F.col(k)) for k in ("low", "high", "both")], year)
-    typed = found.select("reply_id", "row_number", *[c.alias(k) for k, c in out.items()], valid.alias("valid"))
+    typed = found.select("reply_id", "row_number", "warnings", *[c.alias(k) for k, c in out.items()], valid.alias("valid"))
     return typed.select("*", "valid.valid_from", "valid.valid_to").drop("valid")
 
 

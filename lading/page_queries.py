@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lading.mail_queries import made, plain
-from lading.operators import bodies, replies, wordtables
+from lading.mail_queries import made, now, plain
+from lading.operators import bodies, grids, replies, sheets, wordtables
+from lading.plans.rates import table
+from lading.sources import sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,3 +111,52 @@ SELECT message_id, CASE WHEN kind IN (0, 2) THEN 'text' WHEN kind IN (1, 3) THEN
 def thread_bodies(spark, sf_dir):
     """The offer in each mail, out of its text or HTML and its thread."""
     return bodies.preferred_bodies(made(spark, sf_dir, THREADS, "orders"))
+
+
+@query(f"""WITH r AS ({ORACLE_SQL["reply_rates"]}),
+b AS (SELECT reply_id, row_number AS n, concat_ws(',', coalesce(origin_port, ''), coalesce(port_of_exit, ''), coalesce(destination_port, ''), CASE container_type WHEN '20' THEN '20DV' ELSE container_type END, '', '', '', currency,
+  coalesce(CAST(free_days AS VARCHAR), ''), coalesce(CAST(transit_days AS VARCHAR), ''), coalesce(strftime(valid_from, '%Y-%m-%d'), ''), coalesce(strftime(valid_to, '%Y-%m-%d'), ''),
+  CASE WHEN ocean_freight IS NULL THEN '' ELSE CAST(CAST(ocean_freight AS INT) AS VARCHAR) END, '', '', '', CASE WHEN total_cost IS NULL THEN '' ELSE CAST(CAST(total_cost AS DECIMAL(18,1)) AS VARCHAR) END,
+  CASE WHEN total_sale IS NULL THEN '' ELSE CAST(CAST(total_sale AS DECIMAL(18,1)) AS VARCHAR) END, '', '', '', CASE WHEN reply_id % 8 IN (0, 2) THEN 'AI warnings: late | early' ELSE '' END) AS line FROM r)
+SELECT reply_id, CAST(n AS INT) AS pos, line FROM b
+UNION ALL SELECT DISTINCT reply_id, 0, 'POL,POE,POD,Equipo,Naviera,Agente,Commodity,Moneda,Dias Libres,Dias Transito,Valid From,Valid To,Ocean Freight,Origin Charges,Destination Charges,Surcharges,Total Cost,Total Sale,Profit,Margin,Space,Remarks' FROM b""")
+def reply_lines(spark, sf_dir):
+    """Rates of replies as lines of a normalised file."""
+    read = replies.read_replies(made(spark, sf_dir, REPLIES, "orders"))
+    return sinks.rate_lines(replies.reply_rows(read, 2026))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'Failed' WHEN o_orderkey % 3 = 0 THEN 'Pending' WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 > 1 THEN 'Failed' WHEN o_orderkey % 5 = 0 THEN 'Pending' ELSE 'Processed' END AS status,
+CAST(CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 > 0 THEN o_orderkey % 7 ELSE o_orderkey % 7 + 1 END AS INT) AS retry_count, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 = 0 THEN 'no ' || o_orderpriority END AS error_message,
+CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 0 THEN TIMESTAMP '1998-06-01 00:00:00' END AS processed_at, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS payload_json FROM orders""")
+def outbox_round(spark, sf_dir):
+    """An outbox after a round of publishing: a third without result, a fifth of the rest refused, a quarter failed before."""
+    orders = table(spark, sf_dir, "orders")
+    box = sinks.integration_events(orders, "RatesExtracted", "integration", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], "o_orderkey", F.col("o_orderdate").cast("timestamp"))
+    k = F.col("correlation_id").cast("long")
+    box = box.withColumn("status", F.when(k % 4 == 0, "Failed").otherwise("Pending")).withColumn("retry_count", (k % 7).cast("int"))
+    results = box.join(orders, k == F.col("o_orderkey")).filter(k % 3 > 0).select("event_id", F.when(k % 5 == 0, F.concat(F.lit("no "), "o_orderpriority")).alias("error"))
+    out = sinks.after_publishing(box, results, now())
+    return out.select(k.alias("k"), "status", "retry_count", "error_message", F.col("processed_at").cast("timestamp_ntz").alias("processed_at"), "payload_json")
+
+
+#: Workbooks of a customer each: a sheet of notes, and one whose rows are orders, with a second block to the right of the first.
+GRIDS = """WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, 3 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}), d AS (SELECT DISTINCT d FROM o),
+  v AS (SELECT d, sheet, rw, cl, txt FROM d CROSS JOIN (VALUES (0, 1, 1, 'Vigencia 08 al 14 de agosto 2026'), (0, 2, 1, 'IVA 13%'), (0, 2, 2, 'Mínimo de 7 días'), (1, 1, 2, 'Tarifas'), (1, 3, 1, 'Región'), (1, 3, 2, 'POL'), (1, 3, 3, '20'''), (1, 3, 4, '40''HC'), (1, 3, 5, 'Notas'), (1, 3, 6, 'POL'), (1, 3, 7, '40HC')) AS t (sheet, rw, cl, txt)
+    WHERE NOT (d % 7 = 0 AND cl IN (2, 6) AND sheet = 1)),
+  b AS (SELECT d, 1 AS sheet, r AS rw, cl, CASE cl WHEN 1 THEN 'Asia' WHEN 2 THEN CASE WHEN k % 11 = 0 THEN ' ' ELSE ' P' || CAST(k AS STRING) END WHEN 3 THEN CASE WHEN k % 5 = 0 THEN 'n/a' ELSE '$' || CAST(1000 + k % 900 AS STRING) END
+    WHEN 4 THEN CASE WHEN k % 3 = 0 THEN '-' ELSE CAST(2000 + k % 700 AS STRING) END ELSE '99' END AS txt FROM o CROSS JOIN (VALUES (1), (2), (3), (4), (6), (7)) AS t (cl))
+SELECT d AS doc_id, CASE d % 4 WHEN 0 THEN 'MSK DT via Moin.xlsx' WHEN 1 THEN 'HPL Caldera.xlsx' WHEN 2 THEN 'Caldera.xlsx' ELSE 'ONE Colon.xlsx' END AS file_name, CAST(sheet AS INT) AS sheet, CASE sheet WHEN 0 THEN 'Notas' ELSE 'FCL' END AS sheet_name,
+  CAST(rw AS INT) AS row, CAST(cl AS INT) AS col, txt AS text FROM (SELECT * FROM v UNION ALL SELECT d, sheet, CAST(rw AS INT), cl, txt FROM b) AS u"""
+
+
+@query("""WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, CAST(3 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS r FROM orders),
+h AS (SELECT d AS doc_id, r AS row_number, d % 4 AS kind, 'P' || k AS pol, CASE WHEN k % 5 > 0 THEN '$' || (1000 + k % 900) END AS a, CASE WHEN k % 3 > 0 THEN CAST(2000 + k % 700 AS VARCHAR) END AS b FROM o WHERE d % 7 > 0 AND d % 4 <> 2 AND k % 11 > 0),
+c AS (SELECT *, CASE kind WHEN 0 THEN 'Moín' WHEN 1 THEN 'Puerto Caldera' ELSE 'Colón' END AS poe FROM h WHERE a IS NOT NULL OR b IS NOT NULL),
+u AS (SELECT doc_id, row_number, unnest(['POL', 'POE', 'Carrier', 'Currency', 'ValidFrom', 'ValidTo', '20''', '40''HC', 'RouteMode', 'Remarks']) AS header, unnest([pol, poe, CASE kind WHEN 0 THEN 'Maersk' WHEN 1 THEN 'Hapag-Lloyd' ELSE 'ONE' END, 'USD', '2026-08-08', '2026-08-14', a, b, CASE WHEN kind = 0 THEN 'Diamond Tier' ELSE 'Marítimo' END,
+  'Tarifa ' || CASE WHEN kind = 0 THEN 'Diamond Tier' ELSE 'marítima' END || ' vía ' || poe || '. Vigencia obtenida del encabezado del XLSX. Condiciones: cargos locales sujetos al 13% de IVA' || CASE WHEN kind = 0 THEN '; reservar como mínimo 7 días antes del ETA del buque' ELSE '' END || '.']) AS value FROM c)
+SELECT * FROM u WHERE value IS NOT NULL""")
+def grid_tariffs(spark, sf_dir):
+    """Rates of workbooks that state carrier, port and validity beside the table."""
+    cells = made(spark, sf_dir, GRIDS, "orders")
+    return grids.tariff_grids(cells, sheets.default_mappings(spark), now().cast("date")).select("doc_id", "row_number", "header", "value")
