@@ -220,7 +220,7 @@ def priced_records(spark, sf_dir):
         F.lit("OceanFreight"), F.concat(F.lit("USD "), text(q * 100)), F.lit("AgentProfitCost"), F.when(c < 2, text(q)), F.lit("AgentReleaseCost"), F.when(c == 0, text(2 * q)), F.lit("BunkerCost"), F.lit("$7"),
         F.lit("TotalSale"), F.when(c == 2, text(q * 150)), F.lit("AllInSale"), F.when(c != 1, text(q * 120)),
     )
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), fields.alias("fields")).repartition("order_key")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), fields.alias("fields")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_key")
     out = records.price_records(rows, 2026)
     return out.select("order_key", "line_no", "origin_port", "container_type", "carrier", "free_days", *[F.col(x).cast("double").alias(x) for x in ("ocean_freight", "origin_charges", "total_cost", "total_sale", "profit")], "remarks")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading.mail_queries import made, now, plain
@@ -23,6 +24,11 @@ def query(sql: str | None = None):
     return add
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows that cost much each, dealt out to as many tasks as a shuffle has: they are too small for Spark to split them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Pages of tariffs: one document per customer, two pages, a line per order; words are off their columns by some points.
 WORDS = """WITH o AS (SELECT o_custkey AS d, 1 + o_orderkey % 2 AS page, o_orderkey AS k, o_orderdate AS dt, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS r FROM {orders}),
   p AS (SELECT DISTINCT d, page FROM o),
@@ -85,7 +91,7 @@ SELECT reply_id, CAST(n AS INT) AS row_number, nullif(trim(coalesce(json_extract
   CASE WHEN second THEN DATE '2026-08-15' ELSE try_cast(json_extract_string(r, '$.validTo') AS DATE) END AS valid_to FROM f""")
 def reply_rates(spark, sf_dir):
     """Typed rates out of replies in eight shapes."""
-    read = replies.read_replies(made(spark, sf_dir, REPLIES, "orders"))
+    read = replies.read_replies(dealt(made(spark, sf_dir, REPLIES, "orders"), "reply_id"))
     rows = replies.reply_rows(read, 2026)
     money = [F.col(c).cast("double").alias(c) for c in ("ocean_freight", "total_cost", "total_sale")]
     return rows.select("reply_id", "row_number", "origin_port", "port_of_exit", "destination_port", "container_type", "currency", "free_days", "transit_days", *money, "valid_from", "valid_to")
@@ -110,7 +116,7 @@ SELECT message_id, CASE WHEN kind IN (0, 2) THEN 'text' WHEN kind IN (1, 3) THEN
   + 140 * (body LIKE '%consider the rate%')::INT + 8 * (body LIKE '%POL:%')::INT + 8 * (body LIKE '%POD:%')::INT ELSE 0 END AS INT) AS score FROM f""")
 def thread_bodies(spark, sf_dir):
     """The offer in each mail, out of its text or HTML and its thread."""
-    return bodies.preferred_bodies(made(spark, sf_dir, THREADS, "orders"))
+    return bodies.preferred_bodies(dealt(made(spark, sf_dir, THREADS, "orders"), "message_id"))
 
 
 @query(f"""WITH r AS ({ORACLE_SQL["reply_rates"]}),
@@ -122,7 +128,7 @@ SELECT reply_id, CAST(n AS INT) AS pos, line FROM b
 UNION ALL SELECT DISTINCT reply_id, 0, 'POL,POE,POD,Equipo,Naviera,Agente,Commodity,Moneda,Dias Libres,Dias Transito,Valid From,Valid To,Ocean Freight,Origin Charges,Destination Charges,Surcharges,Total Cost,Total Sale,Profit,Margin,Space,Remarks' FROM b""")
 def reply_lines(spark, sf_dir):
     """Rates of replies as lines of a normalised file."""
-    read = replies.read_replies(made(spark, sf_dir, REPLIES, "orders"))
+    read = replies.read_replies(dealt(made(spark, sf_dir, REPLIES, "orders"), "reply_id"))
     return sinks.rate_lines(replies.reply_rows(read, 2026))
 
 
