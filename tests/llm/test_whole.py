@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lading.llm import lines, minhash, pages, personal_data, quality_rules, sharding
-from lading.sources import mail
 
 
 def alike(texts, similarity=0.8, width=5):
@@ -161,20 +160,6 @@ def test_repeated_lines_are_a_share_of_lines(spark):
     assert not any(got[i]["kept"] for i in range(30)) and all(got[100 + i]["kept"] for i in range(30))
 
 
-def test_long_mail_bodies_are_whole(monkeypatch):
-    rows = "rate 1 USD\n" * 150_000
-    assert mail.parse(("Subject: x\nContent-Type: text/html\n\n" + rows).encode())["body_html"].count("rate 1 USD") == 150_000
-
-    def broken(*args, **kw):
-        raise ValueError
-
-    monkeypatch.setattr(mail.email, "message_from_bytes", broken)
-    got = mail.parse(("first\n" + ("A" * 76 + "\n") * 20_000 + "last\n").encode())["body_text"]
-    assert got == "first\n[contenido binario MIME omitido]\nlast\n"
-    got = mail.parse(rows.encode())["body_text"]
-    assert got.startswith("rate 1 USD\n") and got.endswith("\n[contenido MIME truncado; el original se conserva como correo bruto]")
-
-
 @pytest.mark.parametrize("piece", ["<script", "a<b", '<a "', "<b>", "</div>", '<a ">" ', "<!-", "<p><b>", "<li><i>"])
 def test_odd_markup_takes_linear_time(piece):
     def took(size):
