@@ -10,69 +10,150 @@ from pyspark.sql import functions as F
 from lading.functions.text import header_key
 from lading.functions.values import BASE_PORTS, containers, is_base_ports, money
 
-# Header keys by the field that they name. Keys of costs and sales are made by rule in default_mappings().
+# The header keys of each field, all of them.
 FIELDS = {
-    "OriginPort": "pol origin origen originport puertoorigen portloading portofloading loading loadingport loadport from por placeofreceipt receipt",
-    "PortOfExit": "poe portofexit exitport puertosalida portofentry entryport puertoentrada destination destino destinationport puertodestino portdischarge portofdischarge discharge dischargeport arrivalport portofarrival gateway costaricagateway transshipmentport transshipment transbordo via to pod",
-    "DestinationPort": "finaldestination placeofdelivery delivery deliveryplace deliverypoint finaldelivery destinofinal lugardeentrega puntodeentrega",
-    "Carrier": "carrier naviera linea lineamaritima shippingline steamshipline shippingcompany ssl oceanline line",
-    "Agent": "agent agente forwarder proveedor provider",
-    "ContainerType": "container containersize containersizetype containertype containercode equipment equipmentsize equipmenttype equipmentcode equipo tipocontenedor contenedor cntr eq equip eqtype type size sizetype",
-    "Commodity": "commodity mercancia producto cargo cargotype descripcion description",
-    "Currency": "currency moneda curr ccy divisa",
-    "TransitDays": "diastransito transitdays transittimedays transitdayscount diastransitocantidad tiempotransito tiempoentransito transittime tt",
-    "FreeDays": "diaslibres freedays freetime free fd demurragefreedays detentionfreedays demdetfreedays",
-    "ValidFrom": "validfrom vigencia vigenciadesde inicio fechainicio start startdate desde effective effectivedate effectiveetd effectivefrom validityfrom",
-    "ValidTo": "validto validuntil vigenciahasta vence vencimiento fechavencimiento fin fechafin hasta validity validityto expiration expirationdate expiracion expiry expirydate expiredate effectiveto",
-    "OceanFreight": "oceanfreight freight seafreight basicfreight freightrate rate rateusd amount tarifa precio price flete montoflete montotarifa fleteoceanico of ocf",
-    "Surcharges": "fixedcosts fixedcost costosfijos costofijo charges localcharges surcharges recargos extras",
-    "OriginCharges": "origincharges gastosorigen origencharges",
-    "DestinationCharges": "destinationcharges gastosdestino destinocharges",
-    "TotalCost": "totalcost totalcostos costototal costostotales",
-    "TotalSale": "totalsale venta totalventa sellingamount",
-    "Profit": "profit utilidad",
-    "Margin": "margin margen",
-    "SpaceComment": "space spaces espacios comentarioespacios comentariosdeespacios comentariosespacios",
-    "Remarks": "remarks observaciones comentarios comment comments notes nota notas",
-    "RouteMode": "route routemode",
-    "UpdatedAt": "actualizado updatedat updated lastupdate lastupdated",
+    "OriginPort": (
+        "pol", "origin", "origen", "originport", "puertoorigen", "portloading", "portofloading", "loading", "loadingport", "loadport", "from", "por",
+        "placeofreceipt", "receipt",
+    ),
+    "PortOfExit": (
+        "poe", "portofexit", "exitport", "puertosalida", "portofentry", "entryport", "puertoentrada", "destination", "destino", "destinationport",
+        "puertodestino", "portdischarge", "portofdischarge", "discharge", "dischargeport", "arrivalport", "portofarrival", "gateway",
+        "costaricagateway", "transshipmentport", "transshipment", "transbordo", "via", "to", "pod",
+    ),
+    "DestinationPort": (
+        "finaldestination", "placeofdelivery", "delivery", "deliveryplace", "deliverypoint", "finaldelivery", "destinofinal", "lugardeentrega",
+        "puntodeentrega",
+    ),
+    "Carrier": (
+        "carrier", "naviera", "linea", "lineamaritima", "shippingline", "steamshipline", "shippingcompany", "ssl", "oceanline", "line",
+    ),
+    "Agent": (
+        "agent", "agente", "forwarder", "proveedor", "provider",
+    ),
+    "ContainerType": (
+        "container", "containersize", "containersizetype", "containertype", "containercode", "equipment", "equipmentsize", "equipmenttype",
+        "equipmentcode", "equipo", "tipocontenedor", "contenedor", "cntr", "eq", "equip", "eqtype", "type", "size", "sizetype",
+    ),
+    "Commodity": (
+        "commodity", "mercancia", "producto", "cargo", "cargotype", "descripcion", "description",
+    ),
+    "Currency": (
+        "currency", "moneda", "curr", "ccy", "divisa",
+    ),
+    "TransitDays": (
+        "diastransito", "transitdays", "transittimedays", "transitdayscount", "diastransitocantidad", "tiempotransito", "tiempoentransito",
+        "transittime", "tt",
+    ),
+    "FreeDays": (
+        "diaslibres", "freedays", "freetime", "free", "fd", "demurragefreedays", "detentionfreedays", "demdetfreedays",
+    ),
+    "ValidFrom": (
+        "validfrom", "vigencia", "vigenciadesde", "inicio", "fechainicio", "start", "startdate", "desde", "effective", "effectivedate",
+        "effectiveetd", "effectivefrom", "validityfrom",
+    ),
+    "ValidTo": (
+        "validto", "validuntil", "vigenciahasta", "vence", "vencimiento", "fechavencimiento", "fin", "fechafin", "hasta", "validity", "validityto",
+        "expiration", "expirationdate", "expiracion", "expiry", "expirydate", "expiredate", "effectiveto",
+    ),
+    "OceanFreight": (
+        "oceanfreight", "freight", "seafreight", "basicfreight", "freightrate", "rate", "rateusd", "amount", "tarifa", "precio", "price", "flete",
+        "montoflete", "montotarifa", "fleteoceanico", "of", "ocf", "freightamount", "oceanfreightamount", "rateamount", "fleteamount",
+        "fletemaritimocosto", "fleteoceanicocosto", "freightcost",
+    ),
+    "Surcharges": (
+        "fixedcosts", "fixedcost", "costosfijos", "costofijo", "charges", "localcharges", "surcharges", "recargos", "extras",
+    ),
+    "OriginCharges": (
+        "origincharges", "gastosorigen", "origencharges",
+    ),
+    "DestinationCharges": (
+        "destinationcharges", "gastosdestino", "destinocharges",
+    ),
+    "TotalCost": (
+        "totalcost", "totalcostos", "costototal", "costostotales",
+    ),
+    "TotalSale": (
+        "totalsale", "venta", "totalventa", "sellingamount", "saleamount",
+    ),
+    "Profit": (
+        "profit", "utilidad",
+    ),
+    "Margin": (
+        "margin", "margen",
+    ),
+    "SpaceComment": (
+        "space", "spaces", "espacios", "comentarioespacios", "comentariosdeespacios", "comentariosespacios",
+    ),
+    "Remarks": (
+        "remarks", "observaciones", "comentarios", "comment", "comments", "notes", "nota", "notas",
+    ),
+    "RouteMode": (
+        "route", "routemode",
+    ),
+    "UpdatedAt": (
+        "actualizado", "updatedat", "updated", "lastupdate", "lastupdated",
+    ),
+    "DestinationThcCost": (
+        "thcd", "thcdcosto", "thddcosto", "thcdestinationcosto",
+    ),
+    "PanamaHandlingCost": (
+        "manejospty", "manejosptycosto", "panamahandlingcost",
+    ),
+    "BunkerCost": (
+        "bunker", "bunkercosto",
+    ),
+    "AllInSale": (
+        "allin", "allinventa",
+    ),
+    "AgentProfitCost": (
+        "profitagentecosto", "agentprofitcost",
+    ),
+    "AgentReleaseCost": (
+        "releaseagentecosto", "releasecosto", "agentreleasecost",
+    ),
+    "DocumentationCost": (
+        "documentacioncosto", "documentationcost",
+    ),
+    "ContainerProtectCost": (
+        "containerprotectcosto", "containerprotectioncosto",
+    ),
+    "WharfageCost": (
+        "muellajecosto", "wharfagecost",
+    ),
+    "MerchantCost": (
+        "merchantcosto", "merchantcost",
+    ),
+    "InternalFreightCost": (
+        "fleteinternocosto", "internalfreightcost",
+    ),
+    "CarouselCost": (
+        "carruselcosto", "carouselcost",
+    ),
+    "InternationalLandFreightCost": (
+        "fleteinternacionalterrestrecosto", "landfreightcost",
+    ),
+    "InternationalFreightSale": (
+        "fleteinternacionalventa", "internationalfreightsale",
+    ),
+    "DestinationChargesSale": (
+        "cargosendestinoventa", "destinationchargessale",
+    ),
+    "CarouselSale": (
+        "carruselventa", "carouselsale",
+    ),
+    "InternalFreightSale": (
+        "fleteinternoventa", "internalfreightsale",
+    ),
+    "HandlingSale": (
+        "manejosventa", "handlingsale",
+    ),
 }
-# What "amount" follows, and charges in Spanish, which "costo" or "venta" follows, and in English, which "cost"
-# or "sale" follows; keys that stand for a charge alone.
-WITH_AMOUNT = {"OceanFreight": "freight oceanfreight rate flete", "TotalSale": "sale"}
-COSTS = {
-    "OceanFreight": ("fletemaritimo fleteoceanico", "freight"),
-    "AgentProfitCost": ("profitagente", "agentprofit"),
-    "AgentReleaseCost": ("releaseagente release", "agentrelease"),
-    "DestinationThcCost": ("thcd thdd thcdestination", ""),
-    "DocumentationCost": ("documentacion", "documentation"),
-    "ContainerProtectCost": ("containerprotect containerprotection", ""),
-    "WharfageCost": ("muellaje", "wharfage"),
-    "MerchantCost": ("merchant", "merchant"),
-    "InternalFreightCost": ("fleteinterno", "internalfreight"),
-    "CarouselCost": ("carrusel", "carousel"),
-    "PanamaHandlingCost": ("manejospty", "panamahandling"),
-    "InternationalLandFreightCost": ("fleteinternacionalterrestre", "landfreight"),
-    "BunkerCost": ("bunker", ""),
-}
-SALES = {
-    "InternationalFreightSale": ("fleteinternacional", "internationalfreight"),
-    "AllInSale": ("allin", ""),
-    "DestinationChargesSale": ("cargosendestino", "destinationcharges"),
-    "CarouselSale": ("carrusel", "carousel"),
-    "InternalFreightSale": ("fleteinterno", "internalfreight"),
-    "HandlingSale": ("manejos", "handling"),
-}
-ALONE = {"thcd": "DestinationThcCost", "manejospty": "PanamaHandlingCost", "bunker": "BunkerCost", "allin": "AllInSale"}
 
 
 def default_fields() -> dict[str, str]:
     """Header key -> field."""
-    out = {k: f for f, keys in FIELDS.items() for k in keys.split()} | ALONE
-    out |= {f"{k}amount": f for f, keys in WITH_AMOUNT.items() for k in keys.split()}
-    for table, ends in ((COSTS, ("costo", "cost")), (SALES, ("venta", "sale"))):
-        out |= {f"{k}{end}": f for f, both in table.items() for keys, end in zip(both, ends, strict=True) for k in keys.split()}
-    return out
+    return {k: field for field, keys in FIELDS.items() for k in keys}
 
 
 def default_mappings(spark: SparkSession) -> DataFrame:

@@ -107,7 +107,7 @@ SELECT k AS message_id, CASE kind WHEN 0 THEN request || nl || 'From: bob' || nl
   CASE kind WHEN 1 THEN '<style>p</style><p>Hi &amp; bye</p><div>' || replace(offer, nl, '<br>') || '</div>' WHEN 2 THEN '<p>' || old || '</p><p>' || old || '</p>' WHEN 3 THEN '<table><tr><td>POL</td><td>POD</td><td>USD&nbsp;5 ' || CAST(k AS STRING) || '</td></tr></table>' WHEN 4 THEN CASE WHEN k % 2 = 0 THEN ' ' END END AS body_html FROM p"""
 
 
-@query(f"""WITH m AS ({plain(THREADS)}), o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind FROM orders),
+@query(rf"""WITH m AS ({plain(THREADS)}), o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind FROM orders),
 c AS (SELECT message_id, kind, CASE kind WHEN 1 THEN regexp_replace(regexp_replace(body_html, '.*<div>', ''), '</div>.*', '') WHEN 0 THEN regexp_extract(body_text, '(space is tight[^$]*?)\nRegards', 1) END AS offer, body_text, body_html FROM m JOIN o ON k = message_id),
 f AS (SELECT message_id, kind, CASE WHEN kind < 2 THEN regexp_replace(replace(replace(replace(replace(replace(offer, '<br>', chr(10)), '> ', ''), chr(10) || 'with', ' with'), '/' || chr(10), '/'), chr(10) || chr(10), chr(10)), '\s+$', '')
   WHEN kind = 2 THEN regexp_extract(body_text, '(POL\n[^$]*)$', 1) WHEN kind = 3 THEN 'POL POD USD 5 ' || CAST(message_id AS VARCHAR) ELSE '' END AS body FROM c)

@@ -53,6 +53,14 @@ def sheets(raw: bytes) -> list[tuple[str, list[tuple[int, list[str | None]]]]]:
     return out
 
 
+def _readable(raw: bytes | None) -> list[tuple[str, list[tuple[int, list[str | None]]]]]:
+    """The sheets of a file; a null one, or what is no workbook, has none."""
+    try:
+        return sheets(bytes(raw or b""))
+    except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, AttributeError):
+        return []
+
+
 def header_row(rows: list[tuple[int, list[str | None]]]) -> int | None:
     """Place of the first row with two known headers, else of the first with three cells."""
     known = lambda cells: sum(re.sub("[^a-z0-9]", "", (c or "").lower()) in KNOWN or bool(re.match(r"^(20|40|45)", (c or "").strip())) for c in cells)
@@ -61,13 +69,14 @@ def header_row(rows: list[tuple[int, list[str | None]]]) -> int | None:
 
 
 def read_cells(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` to rows of cells; sheets without a header row give none."""
+    """``files(path, content)`` to rows of cells; sheets without a header row give none, and neither do null contents and files
+    that can't be read as a workbook."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                for k, (name, lines) in enumerate(sheets(bytes(content))):
+                for k, (name, lines) in enumerate(_readable(content)):
                     at = header_row(lines)
                     if at is None:
                         continue

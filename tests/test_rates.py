@@ -89,6 +89,14 @@ def test_mail(spark, tmp_path):
     assert [r["k"] for r in kinds] == ["Excel", "Csv", "Pdf", "Unknown"]
 
 
+def test_what_is_no_workbook(spark):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("other.txt", "x")
+    df = spark.createDataFrame([("a", None), ("b", bytearray(b"")), ("c", bytearray(b"PK no zip")), ("d", bytearray(raw.getvalue()))], "path string, content binary")
+    assert workbook.read_cells(df).count() == 0
+
+
 def test_workbook(spark):
     raw = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
