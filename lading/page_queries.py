@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading.mail_queries import made, now, plain
-from lading.operators import bodies, grids, replies, sheets, wordtables
+from lading.operators import bodies, grids, narratives, replies, sheets, wordtables
 from lading.plans.rates import table
 from lading.sources import sinks
 
@@ -166,3 +166,28 @@ def grid_tariffs(spark, sf_dir):
     """Rates of workbooks that state carrier, port and validity beside the table."""
     cells = made(spark, sf_dir, GRIDS, "orders")
     return grids.tariff_grids(cells, sheets.default_mappings(spark), now().cast("date")).select("doc_id", "row_number", "header", "value")
+
+
+#: Mails with an offer in a sentence, and routes below it.
+OFFERS = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 4 AS INT) AS kind, CAST(1000 + o_orderkey % 900 AS STRING) AS a FROM {orders}),
+  l AS (SELECT k, pos, CASE pos WHEN 0 THEN 'Dear all' WHEN 1 THEN CASE kind WHEN 0 THEN 'Pls consider rate USD' || a || '/1,950 valid 15-21 Aug 2026, Carrier MSC/ONE NAC, with 21 days free (except P' || CAST(k % 50 AS STRING) || ')' WHEN 1 THEN 'Please consider rate HPL USD ' || a || ' PIL NAC $77 valid 28 Aug - 3 Sep with 7 days free'
+      WHEN 2 THEN 'Pls consider rate USD ' || a || ' valid soon, Carrier MSC, with 21 days free' ELSE 'pls consider rate USD ' || a || ' per 20GP valid 1-5 Sep Carrier ONE with 9 days free' END
+    WHEN 2 THEN 'POL: P' || CAST(k % 50 AS STRING) || '/Q' || CAST(k % 7 AS STRING) || ' (+arb USD 50), R1' WHEN 3 THEN 'POD: Moin; Caldera; moin' WHEN 4 THEN 'COMM: FAK' WHEN 5 THEN 'B)' WHEN 6 THEN 'POL: S1' WHEN 7 THEN CASE WHEN k % 3 > 0 THEN 'POD: Limon' ELSE 'none' END
+    WHEN 8 THEN 'Subject to PCS USD 297/cntr, EPR $28.50/container.' WHEN 9 THEN 'Regards' ELSE 'POL: T, old rate per 40HQ' END AS text
+  FROM o CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS v (pos))
+SELECT k AS doc_id, CAST(pos AS INT) AS pos, text FROM l"""
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS kind, o_orderkey % 3 > 0 AS more, CAST(1000 + o_orderkey % 900 AS VARCHAR) AS a, 'P' || o_orderkey % 50 AS p, 'Q' || o_orderkey % 7 AS q FROM orders),
+r AS (
+  SELECT k, 1 AS c, 1 AS g, 'MSC' AS carrier, 'R1/' || q || CASE WHEN more THEN '/S1' ELSE '' END AS pol, 'Moin/Caldera' || CASE WHEN more THEN '/Limon' ELSE '' END AS poe, NULL AS commodity, a AS amount, NULL AS charge FROM o WHERE kind = 0
+  UNION ALL SELECT k, CASE c WHEN 'HPL' THEN 1 ELSE 2 END, 1, CASE c WHEN 'HPL' THEN 'HAPAG-LLOYD' ELSE c END, p || '/R1/' || q || CASE WHEN more THEN '/S1' ELSE '' END, 'Moin/Caldera' || CASE WHEN more THEN '/Limon' ELSE '' END, NULL, CASE c WHEN 'HPL' THEN a ELSE '77' END, NULL FROM o, (VALUES ('HPL'), ('PIL')) v(c) WHERE kind = 1
+  UNION ALL SELECT k, 2, 1, 'ONE', p || '/R1', 'Moin/Caldera', 'FAK', CASE kind WHEN 0 THEN '1950' ELSE a END, NULL FROM o WHERE kind IN (0, 3)
+  UNION ALL SELECT k, 2, 2, 'ONE', q, 'Moin/Caldera', 'FAK', CASE kind WHEN 0 THEN '1950' ELSE a END, '50' FROM o WHERE kind IN (0, 3)
+  UNION ALL SELECT k, 2, 3, 'ONE', 'S1', 'Limon', NULL, CASE kind WHEN 0 THEN '1950' ELSE a END, NULL FROM o WHERE kind IN (0, 3) AND more)
+SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY c, g) AS INT) AS row_number, carrier, pol, poe, CASE k % 4 WHEN 3 THEN '20DV' ELSE '40HC' END AS container_size, commodity, amount AS freight_amount, charge AS origin_charges, '325.5' AS surcharges,
+  CASE k % 4 WHEN 0 THEN '15 Aug 2026' WHEN 1 THEN '28 Aug' ELSE '1 Sep' END AS valid_from, CASE k % 4 WHEN 0 THEN '21 Aug 2026' WHEN 1 THEN '3 Sep' ELSE '5 Sep' END AS valid_to, CASE k % 4 WHEN 0 THEN '21' WHEN 1 THEN '7' ELSE '9' END AS free_days FROM r""")
+def narrative_offers(spark, sf_dir):
+    """Rates of offers told in sentences, in three wordings; a fourth lacks a validity."""
+    lines = dealt(made(spark, sf_dir, OFFERS, "orders"), "doc_id")
+    return narratives.narrative_rates(lines).drop("currency", "remarks")
