@@ -86,8 +86,9 @@ def money(c: Column) -> Column:
     """
     marked = lambda t: F.regexp_extract(t, rf"(?i)(?:(?:^|[^A-Za-z])(?:{CODES})(?![A-Za-z])|US\$|[$€₡£])\s*({NUMBER})", 1)
     alone = lambda t: F.regexp_extract(t, rf"(?:^|[^0-9])({NUMBER})(?:[^0-9]|$)", 1)
-    token = let(F.trim(c), lambda t: F.when(~t.isin(*EMPTY_AMOUNTS), F.coalesce(F.nullif(marked(t), F.lit("")), alone(t))))
-    return fits(let(token, lambda t: let(F.regexp_replace(t, r"[^0-9.,\-]", ""), lambda d: _signed(t, _number(d)))).try_cast("decimal(38,10)"))
+    token = lambda t: let(marked(t), lambda m: F.when(m != "", m).otherwise(alone(t)))
+    read = lambda t: let(F.regexp_replace(t, r"[^0-9.,\-]", ""), lambda d: _signed(t, _number(d))).try_cast("decimal(38,10)")
+    return let(F.trim(c), lambda t: F.when(~t.isin(*EMPTY_AMOUNTS), fits(let(token(t), read))))  # a null ends here
 
 
 def _number(digits: Column) -> Column:
@@ -111,18 +112,17 @@ def _signed(token: Column, number: Column) -> Column:
 
 def fits(value: Column) -> Column:
     """Rounded half away from zero to decimal(18, 4); null where it doesn't fit."""
-    return F.when(F.abs(value) <= F.lit(MOST).cast("decimal(38,10)"), F.round(value, 4)).try_cast("decimal(18,4)")
+    return let(value, lambda v: F.when(F.abs(v) <= F.lit(MOST).cast("decimal(38,10)"), F.round(v, 4)).try_cast("decimal(18,4)"))
 
 
 def currency(c: Column, default: str | None = "USD") -> Column:
     """ISO code by sign, name or embedded code; the default for blanks; short unknown names in upper case, else null."""
-    text = F.upper(fold(F.trim(c)))
-    words = F.trim(F.regexp_replace(text, "[^A-Z]+", " "))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable((a, k) for k, v in CURRENCIES.items() for a in v)]), words)
-    code = F.regexp_extract(words, rf"(?:^| )({CODES})(?: |$)", 1)
-    other = F.when((F.length(text) <= 20) & text.rlike("[A-Z]") & ~text.rlike("[0-9]"), F.regexp_replace(text, r"\s+", " "))
-    found = F.when(c.contains("₡"), "CRC").when(c.contains("€"), "EUR").when(c.contains("£"), "GBP").when(c.contains("$"), "USD")
-    found = F.coalesce(found, named, F.when(code == "RMB", "CNY").when(code != "", code), other)
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((a, k) for k, v in CURRENCIES.items() for a in v)])
+    coded = lambda words: let(F.regexp_extract(words, rf"(?:^| )({CODES})(?: |$)", 1), lambda code: F.when(code == "RMB", "CNY").when(code != "", code))
+    named = lambda text: let(F.trim(F.regexp_replace(text, "[^A-Z]+", " ")), lambda words: F.coalesce(F.try_element_at(names, words), coded(words)))
+    other = lambda text: F.when((F.length(text) <= 20) & text.rlike("[A-Z]") & ~text.rlike("[0-9]"), F.regexp_replace(text, r"\s+", " "))
+    signed = F.when(c.contains("₡"), "CRC").when(c.contains("€"), "EUR").when(c.contains("£"), "GBP").when(c.contains("$"), "USD")
+    found = F.coalesce(signed, let(F.upper(fold(F.trim(c))), lambda text: F.coalesce(named(text), other(text))))
     return F.when(_blank_to_null(c).isNull(), F.lit(default)).otherwise(found)
 
 
@@ -167,13 +167,22 @@ def days(c: Column) -> Column:
 def date(c: Column, as_of_year: int) -> Column:
     """A date in any of the usual spellings, day before month; a missing year is ``as_of_year``; whole numbers of five
     digits are days of a spreadsheet. A number of one or two digits is none."""
-    text = F.trim(F.replace(c, F.lit("."), F.lit("")))
-    for name, short in MONTHS.items():
-        text = F.regexp_replace(text, rf"(?i)(^|[^A-Za-z]){name}([^A-Za-z]|$)", f"$1{short}$2")
+    return let(F.trim(c), lambda t: F.when(t.isNotNull(), _date_of(t, as_of_year)))
+
+
+def _date_of(t: Column, as_of_year: int) -> Column:
+    text = let(F.trim(F.replace(t, F.lit("."), F.lit(""))), _english)
     text = F.replace(F.initcap(F.lower(F.regexp_replace(text, r"[\s/-]+", " "))), F.lit(" "), F.lit("-"))
-    found = let(text, lambda t: _dated(t, as_of_year))
-    serial = F.regexp_extract(F.trim(c), r"^([0-9]{3,5})(?:[.,][0-9]+)?$", 1).try_cast("int")
-    return F.coalesce(found, F.when((serial > 1) & (serial < 60000), F.date_add(F.lit("1899-12-30").cast("date"), serial)))
+    serial = let(F.regexp_extract(t, r"^([0-9]{3,5})(?:[.,][0-9]+)?$", 1).try_cast("int"), lambda n: F.when((n > 1) & (n < 60000), F.date_add(F.lit("1899-12-30").cast("date"), n)))
+    return F.coalesce(let(text, lambda x: _dated(x, as_of_year)), serial)
+
+
+def _english(text: Column) -> Column:
+    """A text with Spanish months in English. Most texts name none, which one look at all names tells."""
+    named = text
+    for name, short in MONTHS.items():
+        named = F.regexp_replace(named, rf"(?i)(^|[^A-Za-z]){name}([^A-Za-z]|$)", f"$1{short}$2")
+    return F.when(text.rlike(rf"(?i)(?:{'|'.join(MONTHS)})"), named).otherwise(text)
 
 
 def _dated(text: Column, as_of_year: int) -> Column:
@@ -196,7 +205,10 @@ def _dated(text: Column, as_of_year: int) -> Column:
 
 def date_range(c: Column, as_of_year: int) -> Column:
     """``(start, end)`` of ``15-21 Aug``, ``15 Aug-21 Aug``, ``2026-08-01 - 2026-08-31`` and ``01-Aug-2026 31-Aug-2026``."""
-    text = F.trim(c)
+    return let(F.trim(c), lambda text: _range_of(text, as_of_year))
+
+
+def _range_of(text: Column, as_of_year: int) -> Column:
     shared = r"^([0-9]{1,2})\s*[-/]\s*([0-9]{1,2})[ /]([A-Za-z]{3,})(?:[ /-]+([0-9]{4}))?$"
     year = F.when(F.regexp_extract(text, shared, 4) != "", F.concat(F.lit(" "), F.regexp_extract(text, shared, 4))).otherwise(F.lit(""))
     ends = r"^([0-9]{1,2}[ -][A-Za-z]{3,}(?:[ -][0-9]{4})?)\s*[-/ ]\s*([0-9]{1,2}[ -][A-Za-z]{3,}(?:[ -][0-9]{4})?)$"

@@ -71,8 +71,12 @@ def unfenced(c: Column) -> Column:
 
 
 def kind(text: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null if the text is no JSON."""
-    return kind_of(F.try_parse_json(text))
+    """OBJECT, ARRAY, STRING or another type of JSON; null if the text is none. Its first character tells the first three."""
+    def of(v: Column) -> Column:
+        first = F.left(F.btrim(text, F.lit(" \t\r\n")), F.lit(1))
+        return F.when(v.isNotNull(), F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "STRING").otherwise(kind_of(v)))
+
+    return values.let(F.try_parse_json(text), of)
 
 
 def kind_of(v: Column) -> Column:
@@ -115,21 +119,27 @@ def _elements(text: Column) -> Column:
     return F.transform(F.filter(both, lambda x: kind_of(x["v"]) == "OBJECT"), lambda x: x["t"])
 
 
-def _unwrapped(node: Column) -> Column:
-    """A node without up to three envelopes around it."""
+def _read(text: Column) -> Column:
+    """A node as its text with its properties, which all that looks at the node shares."""
+    return values.let(text, lambda t: F.when(t.isNotNull(), F.struct(t.alias("t"), fields(t).alias("own"))))
+
+
+def _unwrapped(node: Column, levels: int = LEVELS) -> Column:
+    """A node (as ``_read`` gives it) without up to three envelopes around it. What isn't opened is not looked at again."""
 
-    def opened(t: Column, own: Column) -> Column:
-        held = F.struct(pick(own, ROWS)["kind"].isin("ARRAY", "OBJECT", "STRING").alias("rows"), pick(own, ENVELOPES).alias("inner"))
-        inner = lambda x: F.when(x["inner"]["kind"].isin("ARRAY", "OBJECT"), x["inner"]["text"]).when(x["inner"]["kind"] == "STRING", json_root(x["inner"]["text"]))
-        return values.let(held, lambda x: F.when(F.coalesce(x["rows"], F.lit(False)) | is_row(own), t).otherwise(F.coalesce(inner(x), t)))
+    def inner(x: Column) -> Column:
+        closed = F.coalesce(pick(x["own"], ROWS)["kind"].isin("ARRAY", "OBJECT", "STRING"), F.lit(False)) | is_row(x["own"])
+        below = values.let(pick(x["own"], ENVELOPES), lambda p: F.when(p["kind"].isin("ARRAY", "OBJECT"), p["text"]).when(p["kind"] == "STRING", json_root(p["text"])))
+        return F.when(~closed, below)
 
-    for _ in range(LEVELS):
-        node = values.let(node, lambda t: values.let(fields(t), lambda own: opened(t, own)))
-    return node
+    if not levels:
+        return node
+    opened = lambda x, t: F.when(t.isNull(), x).otherwise(_unwrapped(_read(t), levels - 1))
+    return values.let(node, lambda x: values.let(inner(x), lambda t: opened(x, t)))
 
 
 def _row_texts(node: Column, levels: int = LEVELS) -> Column:
-    """The texts of the rows below a node, through up to three collections in collections."""
+    """The texts of the rows below a node (as ``_read`` gives it), through up to three collections in collections."""
 
     def at(t: Column, own: Column, x: Column) -> Column:
         rows, nested = x["rows"], x["nested"]
@@ -142,11 +152,12 @@ def _row_texts(node: Column, levels: int = LEVELS) -> Column:
 
     def chosen(t: Column, y: Column) -> Column:
         next_ = F.coalesce(y["inner"], F.when(~y["own"], y["below"]))
-        deeper = _row_texts(next_, levels - 1) if levels > 1 else F.lit(None).cast("array<string>")
+        deeper = _row_texts(_read(next_), levels - 1) if levels > 1 else F.lit(None).cast("array<string>")
         return F.when(y["here"].isNotNull(), y["here"]).when(y["inner"].isNull() & y["own"], F.array(t)).otherwise(deeper)
 
-    held = lambda t, own: F.struct(kind(t).alias("kind"), pick(own, ROWS).alias("rows"), pick(own, NESTED).alias("nested"))
-    return values.let(node, lambda t: values.let(fields(t), lambda own: values.let(held(t, own), lambda x: at(t, own, x))))
+    # what has properties is no array
+    held = lambda t, own: F.struct(F.when(own.isNull(), kind(t)).alias("kind"), pick(own, ROWS).alias("rows"), pick(own, NESTED).alias("nested"))
+    return values.let(node, lambda n: values.let(held(n["t"], n["own"]), lambda x: at(n["t"], n["own"], x)))
 
 
 def flexible_decimal(text: Column) -> Column:
@@ -204,7 +215,9 @@ def _truth(p: Column) -> Column:
 def validity(low: Column, high: Column, both: Column, year: int) -> Column:
     """``(valid_from, valid_to)`` of three texts: start and end by themselves; what they lack comes from a range in the
     third, or in one of them."""
-    days = lambda c: values.let(c, lambda t: F.struct(values.date(t, year).alias("day"), values.date_range(F.translate(t, "–—", "--"), year).alias("range")))
+    # a text that is one date is no range
+    ranged = lambda t, day: F.struct(day.alias("day"), F.when(day.isNull(), values.date_range(F.translate(t, "–—", "--"), year)).alias("range"))
+    days = lambda c: values.let(c, lambda t: F.when(t.isNotNull(), values.let(values.date(t, year), lambda day: ranged(t, day))))
     def pair(of: Column) -> Column:
         low, high, both = of[0], of[1], of[2]
         ranges = [x["range"] for x in (both, low, high)]
@@ -220,8 +233,8 @@ def read_replies(replies: DataFrame) -> DataFrame:
 
     Null or blank content and what is no JSON has no rows. Repeated replies each give theirs.
     """
-    df = replies.select("reply_id", _unwrapped(json_root(F.col("content"))).alias("node"))
-    df = df.select("reply_id", _row_texts(F.col("node")).alias("found"), fields(F.col("node")).alias("own"))
+    df = replies.select("reply_id", _unwrapped(_read(json_root(F.col("content")))).alias("node"))
+    df = df.select("reply_id", _row_texts(F.col("node")).alias("found"), F.col("node.own").alias("own"))
     df = df.select("reply_id", "found", pick(F.col("own"), CONFIDENCE).alias("sure"), pick(F.col("own"), WARNINGS).alias("said"), pick(F.col("own"), SUCCESS).alias("ok"))
     sure = values.let(F.coalesce(_amount(F.col("sure")), F.lit(0)), lambda c: F.least(F.lit(100), F.greatest(F.lit(0), F.when((c > 0) & (c <= 1), c * 100).otherwise(c))))
     said = F.col("said")
@@ -236,7 +249,9 @@ def read_replies(replies: DataFrame) -> DataFrame:
 def reply_rows(read: DataFrame, year: int) -> DataFrame:
     """A typed record per row of ``read_replies``: texts, whole days, amounts as decimal(18, 4) and the validity, with the reply's warnings. A currency
     that is not named is taken from a price's text."""
-    flat = read.select("reply_id", "warnings", F.posexplode_outer("rows").alias("row_number", "node")).filter("node is not null").withColumn("own", fields(F.col("node")))
+    # not the bare column: Spark would work it out once more to see whether it is empty
+    every = F.filter("rows", lambda t: t.isNotNull())
+    flat = read.select("reply_id", "warnings", F.posexplode(every).alias("row_number", "node")).withColumn("own", fields(F.col("node")))
     names = TEXTS | WHOLE | AMOUNTS | {"priced_in": PRICED_IN, "low": VALID_FROM, "high": VALID_TO, "both": VALIDITY}
     found = flat.select("reply_id", "warnings", (F.col("row_number") + 1).alias("row_number"), *[pick(F.col("own"), n).alias(k) for k, n in names.items()])
     shown = F.when(F.col("priced_in.kind") == "STRING", F.col("priced_in.text"))

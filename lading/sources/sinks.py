@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
 from lading.functions.text import csv_escape
-from lading.functions.values import containers
+from lading.functions.values import containers, let
 
 COMMITS = "_commits"
 
@@ -102,8 +102,9 @@ def rate_lines(rows: DataFrame) -> DataFrame:
     come first. The reply's warnings close each line's remarks. Replies without rates have no file."""
     kinds = containers(F.col("container_type"))
     told = F.when(F.size("warnings") > 0, F.concat(F.lit("AI warnings: "), F.array_join("warnings", " | ")))
-    each = rows.withColumn("kinds", F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.coalesce(F.trim("container_type"), F.lit("")))))
-    each = each.select("*", F.posexplode("kinds").alias("k", "container")).withColumn("remarks", F.concat_ws(" | ", F.when(F.trim("remarks") != "", F.trim("remarks")), told))
+    # exploded as an expression: a bare column would be worked out once more to see whether it is empty
+    named = let(kinds, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.coalesce(F.trim("container_type"), F.lit("")))))
+    each = rows.select("*", F.posexplode(named).alias("k", "container")).withColumn("remarks", F.concat_ws(" | ", F.when(F.trim("remarks") != "", F.trim("remarks")), told))
     types = dict(each.dtypes)
     line = F.concat_ws(",", *[F.coalesce(csv_escape(_written(F.col(c), types[c])), F.lit("")) for c in RATE_COLUMNS.values()])
     lines = each.select("reply_id", line.alias("line"), F.struct("row_number", "k").alias("at")).groupBy("reply_id", "line").agg(F.min("at").alias("at"))
