@@ -98,7 +98,7 @@ def header_keys(spark, sf_dir):
 
 @query(f"{RECORDS} SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM iss) GROUP BY code")
 def issue_counts(spark, sf_dir):
-    return checked_records(raw_rates(spark, sf_dir)).select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return checked_records(raw_rates(spark, sf_dir)).select(F.explode(F.array_compact("issues")).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query(f"{RECORDS} SELECT carrier, count(*) AS total, CAST(0 AS BIGINT) AS valid, CAST(count(*) FILTER (status = 'RequiresReview') AS BIGINT) AS warning, CAST(count(*) FILTER (status = 'Invalid') AS BIGINT) AS invalid, true AS has_issues, 'CompletedWithIssues' AS state FROM st GROUP BY carrier")
