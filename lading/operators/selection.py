@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lading.functions.values import let
+
 # Issues that ask for review only, however they are marked; those of unknown values besides.
 REVIEWABLE = ("missing_agent", "unknown_agent", "expired_rate")
 # Words that speak of rates.
@@ -18,6 +20,9 @@ KEYWORDS = (
 COLUMN_SIGNS = ("pol", "pod", "poe", "puerto de origen", "puerto destino", "ocean freight", "flete", "container", "contenedor", "20'", "20’", "40hc", "40hq")
 AMOUNT = r"(?iu)(?:(?:\b(?:USD|EUR|CRC)\b|\bUS\$)[^\d\r\n]{0,12}|[$€₡]\s*)\d|\b(?:freight\s*amount|ocean\s*freight|rate\s*amount|flete)\s*[:=]\s*\d"
 VALIDITY = r"(?iu)\b(?:validity|valid\s+from|valid\s+to|effective\s+date|expiry\s+date|vigencia|vencimiento|vence|valid)\b|\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\s+(?:AL|TO|A)\s+\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"
+#: What a text holds (see ``folded``) wherever AMOUNT, or VALIDITY by a word, can match.
+AMOUNT_MARKS = ("usd", "eur", "crc", "$", "€", "₡", "amount", "freight", "flete")
+VALIDITY_MARKS = ("valid", "effective", "expiry", "vigencia", "vencimiento", "vence")
 NARRATIVE = (r"(?iu)\b(?:pls|please)\s+consider\s+rate\b", r"(?iu)\bvalid\b", r"(?iu)\bcarrier\b", r"(?iu)\bPOL\s*:", r"(?iu)\bPOD\s*:")
 #: References that every record needs, and those it needs where it names a value.
 REQUIRED, OPTIONAL = ("origin_port", "port_of_exit", "container_type", "carrier", "currency"), ("destination_port", "agent")
@@ -106,7 +111,18 @@ def sends(confidence: Column, auto_send: Column, least: Column) -> Column:
 def keyword_hits(text: Column) -> Column:
     """How many of the words that speak of rates occur, whole and in any case."""
     bounded = lambda k: text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}]){k}(?![\p{{L}}\p{{N}}])").cast("int")
-    return _sum([bounded(k) for k in KEYWORDS])
+    seen = lambda low: _sum([F.when(text.isNull() | F.contains(low, F.lit(k)), bounded(k)).otherwise(0) for k in KEYWORDS])
+    return let(folded(text), seen)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, in which letters that a pattern in any case takes for ``i``, ``k`` and ``s`` are those. A text can only match
+    such a pattern if this holds the letters that the pattern must have, which costs far less to see."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _has_any(low: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in marks])
 
 
 def text_table(body: Column) -> Column:
@@ -114,11 +130,13 @@ def text_table(body: Column) -> Column:
     container size: a table with one cell a line."""
     lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     count = lambda x, sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
-    barred = F.size(F.filter(lines, lambda x: (count(x, "\t") >= 2) | (count(x, "|") >= 2))) >= 2
-    keys = F.transform(lines, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""))
-    after = lambda i: F.slice(keys, i + 1, 12)
-    stacked = lambda x, i: (x == "pol") & F.array_contains(after(i), "pod") & F.array_contains(after(i), "carrier") & F.exists(after(i), lambda c: c.rlike("^(20|40|45)(gp|hq|hc|dv|dc|nor)?$"))
-    return barred | (F.size(F.filter(keys, stacked)) > 0)
+    barred = lambda ls: F.size(F.filter(ls, lambda x: (count(x, "\t") >= 2) | (count(x, "|") >= 2))) >= 2
+    key = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+    # keys are made of the twelve lines only, and only where the first can be POL
+    begins = lambda x: x.rlike("(?i)^[^a-z0-9]*p[^a-z0-9]*o[^a-z0-9]*l[^a-z0-9]*$") & (key(x) == "pol")
+    whole = lambda ks: F.array_contains(ks, "pod") & F.array_contains(ks, "carrier") & F.exists(ks, lambda c: c.rlike("^(20|40|45)(gp|hq|hc|dv|dc|nor)?$"))
+    stacked = lambda ls: F.size(F.filter(ls, lambda x, i: F.when(begins(x), let(F.transform(F.slice(ls, i + 1, 12), key), whole)).otherwise(False))) > 0
+    return let(lines, lambda ls: barred(ls) | stacked(ls))
 
 
 def classify_messages(messages: DataFrame) -> DataFrame:
@@ -129,8 +147,10 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     """
     text = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
     m = messages.withColumn("_text", text).withColumn("hits", keyword_hits(F.col("_text"))).withColumn("has_table", text_table(F.col("body")))
-    low = F.lower("_text")
-    m = m.withColumn("_columns", reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in COLUMN_SIGNS])).withColumn("_amount", F.col("_text").rlike(AMOUNT)).withColumn("_valid", F.col("_text").rlike(VALIDITY))
+    m = m.withColumn("_columns", let(F.lower("_text"), lambda low: _has_any(low, COLUMN_SIGNS)))
+    signs = let(folded(F.col("_text")), lambda low: F.struct(_has_any(low, AMOUNT_MARKS).alias("amount"), _has_any(low, VALIDITY_MARKS).alias("valid")))
+    m = m.withColumn("_signs", signs)
+    m = m.withColumn("_amount", F.col("_signs.amount") & F.col("_text").rlike(AMOUNT)).withColumn("_valid", (F.col("_signs.valid") | F.col("_text").rlike(r"[0-9][/.-][0-9]+[/.-][0-9]")) & F.col("_text").rlike(VALIDITY))
     m = m.withColumn("_told", reduce(lambda a, b: a & b, [F.col("_text").rlike(p) for p in NARRATIVE]) & F.col("_amount"))
     table = F.col("has_table") & F.col("_columns") & F.col("_amount")
     strong = F.col("_told") | table | (F.col("_columns") & F.col("_amount") & F.col("_valid"))
@@ -139,4 +159,4 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     some = F.coalesce("attachments", F.lit(0)) > 0
     process = (F.trim(F.coalesce("body", F.lit(""))) != "") & strong & F.when(some, F.col("body_with_attachments")).otherwise(F.col("body_without_attachments"))
     out = m.withColumn("body_confidence", body).withColumn("confidence", F.greatest(F.col("body_confidence"), F.when(some, 75).otherwise(0))).withColumn("process_body", process)
-    return out.withColumn("contains_rates", some | F.col("process_body")).drop("_text", "_columns", "_amount", "_valid", "_told")
+    return out.withColumn("contains_rates", some | F.col("process_body")).drop("_text", "_signs", "_columns", "_amount", "_valid", "_told")
