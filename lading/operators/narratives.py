@@ -161,14 +161,16 @@ def narrative_rates(lines: DataFrame) -> DataFrame:
     own = F.when((F.col("n") > 0) & (F.col("end").isNull() | (F.col("pos") < F.col("end"))), F.struct("pos", "text"))
     docs = below.groupBy("doc_id").agg(F.max(F.when(F.col("n") == 0, F.col("text"))).alias("line"), inherited.alias("inherited"), F.array_sort(F.collect_list(own)).alias("own"))
     excepted = _first_each(F.filter(F.transform(_parts(_found(F.col("line"), EXCEPT)), lambda x: header_key(_port(x))), lambda x: x != ""))
-    docs = docs.select(
-        "doc_id", validity(F.col("line")).alias("valid"), _found(F.col("line"), FREE).alias("free_days"), carrier_amounts(F.col("line")).alias("rates"), F.col("own.text").alias("message"),
+    told = F.struct(
+        validity(F.col("line")).alias("valid"), _found(F.col("line"), FREE).alias("free_days"), carrier_amounts(F.col("line")).alias("rates"), F.col("own.text").alias("message"),
         F.coalesce(equipment(F.col("line")), F.col("inherited.size"), F.lit(USUAL_SIZE)).alias("size"), F.coalesce(excepted, F.array().cast("array<string>")).alias("excluded"),
     )
-    docs = docs.filter("valid.low is not null and valid.high is not null and free_days is not null and size(rates) > 0")
+    # taken out of an array of one, as Spark would work out once more what a filter names
+    whole = lambda d: d["valid"]["low"].isNotNull() & d["valid"]["high"].isNotNull() & d["free_days"].isNotNull() & (F.size(d["rates"]) > 0)
+    docs = docs.select("doc_id", F.explode(F.filter(F.array(told), whole)).alias("d")).select("doc_id", "d.*")
     told = F.get(F.filter("message", lambda x: F.startswith(F.lower(x), F.lit("subject to"))), F.lit(0))
-    docs = docs.withColumn("told", told).withColumn("groups", route_groups(F.col("message"))).filter(F.size("groups") > 0)
-    each = docs.select("*", F.posexplode("rates").alias("r", "rate"))
+    docs = docs.withColumn("told", told).withColumn("groups", route_groups(F.col("message")))
+    each = docs.select("*", F.posexplode(F.when(F.size("groups") > 0, F.col("rates"))).alias("r", "rate"))
     each = each.select("*", F.posexplode(F.when(F.col("rate.carrier") == "ONE", F.col("groups")).otherwise(_merged(F.col("groups"), F.col("excluded")))).alias("k", "g"))
     sums = F.regexp_extract_all("told", F.lit(EACH_CONTAINER), F.lit(1))
     total = F.aggregate(F.transform(sums, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(18,4)")), F.lit(0).cast("decimal(38,4)"), lambda a, x: (a + F.coalesce(x, F.lit(0))).cast("decimal(38,4)"))
