@@ -53,14 +53,18 @@ MOST_AMOUNTS, AMOUNT_WEIGHT, WITHOUT_AMOUNT, STRONG = 12, 8, 35, 45
 
 def score(text: Column) -> Column:
     """How much a text looks like an offer; one without an amount stays below ``WITHOUT_AMOUNT``."""
+    return let(text, lambda t: let(F.regexp_count(t, F.lit(AMOUNT)), lambda amounts: _scored(t, amounts)))
+
+
+def _scored(text: Column, amounts: Column) -> Column:
     n = lambda p: F.regexp_count(text, F.lit(p))
-    amounts = n(AMOUNT)
     total = F.least(amounts, F.lit(MOST_AMOUNTS)) * AMOUNT_WEIGHT
     for pattern, weight in WEIGHTS:
         total = total + F.when(text.rlike(pattern), weight).otherwise(0)
     for pattern, weight in COUNTED:
         total = total + n(pattern) * weight
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).when(amounts == 0, F.least(total, F.lit(WITHOUT_AMOUNT))).otherwise(total)
+    whole = let(total, lambda x: F.when(amounts == 0, F.least(x, F.lit(WITHOUT_AMOUNT))).otherwise(x))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(whole)
 
 
 def html_lines(body: Column) -> Column:
@@ -81,9 +85,10 @@ def _squeezed(c: Column) -> Column:
 
 def clean_lines(texts: DataFrame) -> DataFrame:
     """``message_id, source, pos, line``: lines without quote marks and bullets at their start; blank ones are left out."""
-    lines = texts.select("message_id", "source", F.posexplode(F.split(plain_text(F.col("text")), "\n")).alias("pos", "line"))
-    bare = _squeezed(F.regexp_replace(F.btrim("line", F.lit(" \t\r\n")), r"^[>|\-*]+", ""))
-    return lines.withColumn("line", bare).filter("line <> ''")
+    # lines are bared before they are parted, once each; a filter on what is worked out afterwards would do so twice
+    bare = lambda x: _squeezed(F.regexp_replace(F.btrim(x, F.lit(" \t\r\n")), r"^[>|\-*]+", ""))
+    lines = F.transform(F.split(plain_text(F.col("text")), "\n"), bare)
+    return texts.select("message_id", "source", F.posexplode(lines).alias("pos", "line")).filter("line <> ''")
 
 
 def sections(lines: DataFrame) -> DataFrame:
