@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lading.functions.text import header_key
+from lading.functions.values import let
 
 #: Words on one line differ by so many points from the line's first word; a wider gap than GAP parts columns.
 SAME_LINE, GAP = 3.0, 14.0
@@ -60,10 +61,11 @@ def numbered_words(words: DataFrame) -> DataFrame:
 
 def joined_lines(numbered: DataFrame) -> DataFrame:
     """``doc_id, page, line, text`` of numbered words: a gap above ``GAP`` becomes three spaces, others one."""
-    gap = F.col("left") - F.lag("right").over(Window.partitionBy("doc_id", "page", "line").orderBy("left", "right", "word"))
-    joint = F.when(gap.isNull(), "").when(gap > GAP, "   ").otherwise(" ")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "word", "joint"))), lambda w: F.concat(w["joint"], w["word"])), "")
-    return numbered.withColumn("joint", joint).groupBy("doc_id", "page", "line").agg(text.alias("text"))
+    joint = lambda gap: F.when(gap.isNull(), "").when(gap > GAP, "   ").otherwise(" ")
+    before = lambda ws, i: F.when(i > 0, F.get(ws, i - 1)["right"])
+    joined = lambda ws: F.array_join(F.transform(ws, lambda w, i: F.concat(let(w["left"] - before(ws, i), joint), w["word"])), "")
+    text = let(F.array_sort(F.collect_list(F.struct("left", "right", "word"))), joined)
+    return numbered.groupBy("doc_id", "page", "line").agg(text.alias("text"))
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
@@ -100,8 +102,10 @@ def delimited_tables(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     up to a blank or closing line. A line that repeats the header is none.
     """
     marks = [*DELIMITERS, None]
-    split = F.array(*[F.struct(F.lit(-i).alias("order"), cells_of(F.col("text"), d).alias("cells")) for i, d in enumerate(marks)])
-    tries = lines.withColumn("t", F.explode(split)).select("doc_id", "pos", "t.order", "t.cells").filter(F.size("cells") >= LEAST_HEADINGS)
+    # a line without a delimiter is one cell by it
+    parted = lambda d: F.contains("text", F.lit(d)) if d else F.col("text").rlike("\t|  ")
+    split = F.array_compact(F.array(*[F.when(parted(d), F.struct(F.lit(-i).alias("order"), cells_of(F.col("text"), d).alias("cells"))) for i, d in enumerate(marks)]))
+    tries = lines.filter(F.col("text").rlike("[|\t;,]|  ")).withColumn("t", F.explode(split)).select("doc_id", "pos", "t.order", "t.cells").filter(F.size("cells") >= LEAST_HEADINGS)
     heads = tries.select("doc_id", "pos", "order", F.size("cells").alias("width"), F.explode(F.array_distinct(F.transform("cells", header_key))).alias("key")).join(mappings.select("key"), "key")
     heads = heads.groupBy("doc_id", "pos", "order", "width").agg(F.count("*").alias("known")).filter(F.col("known") >= LEAST_HEADINGS)
     first = heads.groupBy("doc_id").agg(F.min(F.struct("pos", (-F.col("known")).alias("k"), (-F.col("width")).alias("w"), (-F.col("order")).alias("o"))).alias("h"))
@@ -148,7 +152,7 @@ def key_value_rows(lines: DataFrame, mappings: DataFrame, least: int = 4) -> Dat
     """Rows from lines such as ``POL: Shanghai``: a row begins wherever the document's first known key comes again. Kept are
     rows of ``least`` known values or more that name a place, a carrier or an amount."""
     pair = r"^\s*([\p{L}][\p{L}0-9 '/.()-]{0,40}?)\s*[:=]\s*(\S.*)$"
-    found = lines.withColumn("header", F.regexp_extract("text", pair, 1)).withColumn("value", F.trim(F.regexp_extract("text", pair, 2))).filter("header <> '' and value <> ''")
+    found = lines.filter(F.col("text").rlike("[:=]")).withColumn("header", F.regexp_extract("text", pair, 1)).withColumn("value", F.trim(F.regexp_extract("text", pair, 2))).filter("header <> '' and value <> ''")
     found = found.withColumn("key", header_key(F.col("header"))).join(mappings, "key")
     running = Window.partitionBy("doc_id").orderBy("pos")
     found = found.withColumn("first", F.first("field").over(running)).withColumn("row_number", F.sum(F.when(F.col("field") == F.col("first"), 1).otherwise(0)).over(running))
