@@ -16,6 +16,8 @@ from lading.operators import tariffs
 
 #: Rows that are searched for a head, cells whose texts describe a workbook, and columns that a block reaches to the right.
 HEAD_ROWS, DESCRIBING, REACH = 30, 800, 3
+#: Headings of a dictionary that is broadcast.
+MOST_KEYS = 100_000
 AMOUNT_KEY = "^(20|20gp|20dc|20dv|20std|20ft|20dry|40|40gp|40dc|40dv|40std|40ft|40dry|40hc|40hq|40highcube|45hc|45hq)(usd|eur|crc|rate|rates|freight|flete|tarifa|amount|costo|venta|sale|allin|oceanfreight)?$"
 # Words that all occur, or one of which occurs (any), and the condition that they stand for, in order.
 CONDITIONS = (
@@ -47,16 +49,18 @@ def used(cells: DataFrame) -> DataFrame:
     return cells.withColumn("text", F.trim("text")).filter("text <> ''")
 
 
-def descriptions(cells: DataFrame) -> DataFrame:
-    """``doc_id, file_name, text``: the file's name, then of each sheet its name and cells, row by row, up to
-    ``DESCRIBING`` cells of the workbook."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet", "row", "col", "text"))
-    first = used(cells).withColumn("n", place).filter(F.col("n") <= DESCRIBING)
-    own = first.select("doc_id", "file_name", "sheet", F.struct("sheet", "row", "col", "text").alias("x"), "sheet_name")
-    per = own.groupBy("doc_id", "sheet").agg(F.min("file_name").alias("file_name"), F.min("sheet_name").alias("name"), F.array_sort(F.collect_list("x")).alias("xs"))
-    lines = F.concat(F.array(F.coalesce("name", F.lit(""))), F.transform("xs", lambda x: x["text"]))
-    whole = per.groupBy("doc_id").agg(F.min("file_name").alias("file_name"), F.array_sort(F.collect_list(F.struct("sheet", lines.alias("lines")))).alias("s"))
-    return whole.select("doc_id", "file_name", F.array_join(F.concat(F.array(F.coalesce("file_name", F.lit(""))), F.flatten(F.transform("s", lambda s: s["lines"]))), "\n").alias("text"))
+def sheet_rows(cells: DataFrame, mappings: DataFrame) -> DataFrame:
+    """``doc_id, sheet, row, sheet_name, file_name, score, xs``: a row's cells in order, and how many of them are known or
+    amount headings. The rows of a workbook are in one partition, where all that follows finds them."""
+    keys = mappings.select("key", F.lit(True).alias("known")).distinct()
+    if mappings.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        keys = F.broadcast(keys)
+    known = used(cells).withColumn("key", header_key(F.col("text"))).join(keys, "key", "left")
+    # every amount heading has one of these numbers, which most cells don't
+    hit = F.coalesce("known", F.lit(False)) | (F.col("key").rlike("20|4[05]") & is_amount_heading(F.col("text")))
+    dealt = known.select("doc_id", "file_name", "sheet", "sheet_name", "row", "col", "text", hit.alias("hit")).repartition("doc_id")
+    xs = F.array_sort(F.collect_list(F.struct("col", "text")))
+    return dealt.groupBy("doc_id", "sheet", "row").agg(F.min("sheet_name").alias("sheet_name"), F.min("file_name").alias("file_name"), F.count_if("hit").alias("score"), xs.alias("xs"))
 
 
 def remarks(mode: Column, port: Column, text: Column) -> Column:
@@ -75,28 +79,54 @@ def remarks(mode: Column, port: Column, text: Column) -> Column:
 
     head = F.when(mode == "Diamond Tier", F.concat(F.lit("Tarifa "), mode)).otherwise("Tarifa marítima")
     opening = F.concat(head, F.lit(" vía "), port, F.lit(". Vigencia obtenida del encabezado del XLSX."))
-    return let(listed(F.upper(fold(text))), lambda c: F.when(c == "", opening).otherwise(F.concat(opening, F.lit(" Condiciones: "), c, F.lit("."))))
+    said = lambda c: F.when(c == "", opening).otherwise(F.concat(opening, F.lit(" Condiciones: "), c, F.lit(".")))
+    return let(F.upper(fold(text)), lambda upper: let(listed(upper), said))
 
 
 def is_amount_heading(text: Column) -> Column:
     return (F.size(containers(text)) > 0) | header_key(text).rlike(AMOUNT_KEY)
 
 
-def heads(cells: DataFrame, mappings: DataFrame) -> DataFrame:
-    """``doc_id, sheet, head, cols``: of each sheet's first ``HEAD_ROWS`` rows the first with two known or amount headings,
-    else the first with three cells; ``cols`` are its columns and headings in order, repeated headings numbered."""
-    cells = used(cells)
-    top = cells.groupBy("doc_id", "sheet").agg(F.min("row").alias("top"))
-    near = cells.join(top, ["doc_id", "sheet"]).filter(F.col("row") < F.col("top") + HEAD_ROWS)
-    known = near.withColumn("key", header_key(F.col("text"))).join(mappings.select("key", F.lit(True).alias("known")).distinct(), "key", "left")
-    hit = F.coalesce("known", F.lit(False)) | is_amount_heading(F.col("text"))
-    rows = known.groupBy("doc_id", "sheet", "row").agg(F.count_if(hit).alias("score"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("col", "text"))).alias("cols"))
-    rows = rows.filter("score >= 2 or n >= 3")
-    best = rows.groupBy("doc_id", "sheet").agg(F.min(F.struct((F.col("score") < 2).alias("weak"), "row", "cols")).alias("h"))
+def described(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` at the first of each workbook: the file's name, then of each sheet its name and cells, row by
+    row, up to ``DESCRIBING`` cells of the workbook; null elsewhere."""
+    in_order, sheet = Window.partitionBy("doc_id").orderBy("sheet", "row"), Window.partitionBy("doc_id", "sheet")
+    before = F.coalesce(F.sum(F.size("xs")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).withColumn("nth", F.row_number().over(in_order)).withColumn("nth_of_sheet", F.row_number().over(sheet.orderBy("row")))
+    told = F.col("before") < DESCRIBING
+    rows = rows.withColumn("name", F.min(F.when(told, F.col("sheet_name"))).over(sheet))
+    none = F.array().cast("array<string>")
+    title = F.when(F.col("nth_of_sheet") == 1, F.array(F.coalesce("name", F.lit("")))).otherwise(none)
+    lines = F.when(told, F.concat(title, F.transform(F.slice("xs", 1, (F.lit(DESCRIBING) - F.col("before")).cast("int")), lambda x: x["text"])))
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("lines", lines).withColumn("all", F.collect_list("lines").over(whole)).withColumn("file", F.min(F.when(told, F.col("file_name"))).over(whole))
+    text = F.array_join(F.concat(F.array(F.coalesce("file", F.lit(""))), F.flatten("all")), "\n")
+    return rows.withColumn("text", F.when(F.col("nth") == 1, text)).drop("all", "lines", "before", "file_name", "name")
+
+
+def said_of_all(file: Column, text: Column, as_of: Column) -> Column:
+    """What name and text say of all rates of a workbook; null without carrier, port of exit and validity."""
+
+    def told(t: Column) -> Column:
+        first = F.struct(tariffs.tariff_carrier(file, t).alias("carrier"), tariffs.tariff_exit(file, t).alias("exit"), tariffs.tariff_validity(t, as_of).alias("valid"), tariffs.route_mode(t).alias("mode"))
+        return let(first, lambda x: F.when(x["carrier"].isNotNull() & x["exit"].isNotNull() & x["valid"].isNotNull(), x.withField("remarks", remarks(x["mode"], x["exit"], t))))
+
+    return F.when(text.isNotNull(), let(text, told))
+
+
+def block(cols: Column) -> Column:
+    """The first block of a head's cells: the column of its first heading POL and the amount headings up to ``REACH`` to the
+    right; null if there is none. Repeated headings are numbered."""
     # the dictionary of headings ignores case
-    before = lambda c, i: F.size(F.filter(F.slice(F.col("h.cols"), 1, i), lambda b: F.lower(b["text"]) == F.lower(c["text"])))
-    named = lambda c, i: F.struct(c["col"].alias("col"), F.when(before(c, i) > 0, F.concat(c["text"], F.lit("_"), (before(c, i) + 1).cast("string"))).otherwise(c["text"]).alias("header"))
-    return best.select("doc_id", "sheet", F.col("h.row").alias("head"), F.transform("h.cols", named).alias("cols"))
+    before = lambda c, i: F.size(F.filter(F.slice(cols, 1, i), lambda b: F.lower(b["text"]) == F.lower(c["text"])))
+    named = lambda c, i: F.struct(c["col"].alias("col"), let(before(c, i), lambda n: F.when(n > 0, F.concat(c["text"], F.lit("_"), (n + 1).cast("string"))).otherwise(c["text"])).alias("header"))
+
+    def found(heads: Column) -> Column:
+        origin = F.get(F.filter(heads, lambda c: header_key(c["header"]) == "pol"), F.lit(0))["col"]
+        amounts = lambda o: F.filter(heads, lambda c: (c["col"] > o) & (c["col"] <= o + REACH) & is_amount_heading(c["header"]))
+        return let(origin, lambda o: let(F.struct(o.alias("origin"), amounts(o).alias("amounts")), lambda x: F.when(o.isNotNull() & (F.size(x["amounts"]) > 0), x)))
+
+    return let(F.transform(cols, named), found)
 
 
 def tariff_grids(cells: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
@@ -106,30 +136,29 @@ def tariff_grids(cells: DataFrame, mappings: DataFrame, as_of: Column) -> DataFr
     POL and takes the amount columns up to three to its right, so further blocks in the row are left out. A row needs an
     origin and one amount. The first sheet that has such rows counts; row numbers are the sheet's. A null text is no cell.
     """
-    said = descriptions(cells).withColumn("carrier", tariffs.tariff_carrier(F.col("file_name"), F.col("text"))).withColumn("exit", tariffs.tariff_exit(F.col("file_name"), F.col("text")))
-    said = said.withColumn("valid", tariffs.tariff_validity(F.col("text"), as_of)).filter("carrier is not null and exit is not null and valid is not null")
-    mode = tariffs.route_mode(F.col("text"))
-    said = said.select("doc_id", "carrier", "exit", "valid", mode.alias("mode"), remarks(mode, F.col("exit"), F.col("text")).alias("remarks"))
-
-    blocks = heads(cells, mappings).withColumn("origin", F.get(F.filter("cols", lambda c: header_key(c["header"]) == "pol"), F.lit(0))["col"]).filter("origin is not null")
-    amount = lambda c: (c["col"] > F.col("origin")) & (c["col"] <= F.col("origin") + REACH) & is_amount_heading(c["header"])
-    blocks = blocks.select("doc_id", "sheet", "head", "origin", F.filter("cols", amount).alias("amounts")).filter(F.size("amounts") > 0)
-
-    body = used(cells).join(blocks, ["doc_id", "sheet"]).filter("row > head and col >= origin").filter(F.col("col") <= F.col("origin") + REACH)
-    heading = F.get(F.filter("amounts", lambda a: a["col"] == F.col("col")), F.lit(0))["header"]
-    body = body.withColumn("header", F.when(F.col("col") == F.col("origin"), "POL").otherwise(heading)).filter("header is not null")
-    body = body.filter((F.col("header") == "POL") | money(F.col("text")).isNotNull())
-    is_origin = F.col("col") == F.col("origin")
-    rows = body.groupBy("doc_id", "sheet", "row").agg(
-        F.max(F.when(is_origin, F.col("text"))).alias("pol"), F.min("sheet_name").alias("sheet_name"),
-        F.array_sort(F.collect_list(F.when(~is_origin, F.struct("col", "header", F.col("text").alias("value"))))).alias("amounts"),
-    )
-    rows = rows.filter("pol is not null and size(amounts) > 0").join(said, "doc_id")
-    rows = rows.withColumn("first", F.min("sheet").over(Window.partitionBy("doc_id"))).filter("sheet = first")
+    rows = described(sheet_rows(cells, mappings).filter("doc_id is not null"))
+    sheet, doc = Window.partitionBy("doc_id", "sheet"), Window.partitionBy("doc_id")
+    # of a sheet's first rows the first with two known or amount headings, else the first with three cells
+    rows = rows.withColumn("top", F.min("row").over(sheet))
+    head = F.when((F.col("row") < F.col("top") + HEAD_ROWS) & ((F.col("score") >= 2) | (F.size("xs") >= 3)), F.struct((F.col("score") < 2).alias("weak"), "row", "xs"))
+    rows = rows.withColumn("h", F.min(head).over(sheet))
+    # worked out where a workbook and a sheet begin; a window hands it to the other rows
+    rows = rows.withColumn("block", F.when(F.col("nth_of_sheet") == 1, block(F.col("h.xs")))).withColumn("head", F.col("h.row")).withColumn("said", said_of_all(F.col("file"), F.col("text"), as_of)).drop("h", "text", "file")
+    rows = rows.withColumn("block", F.first("block", True).over(sheet)).withColumn("said", F.first("said", True).over(doc)).filter("said is not null and block is not null and row > head and sheet is not null")
+
+    def rate(b: Column) -> Column:
+        pol = F.array_max(F.transform(F.filter("xs", lambda c: c["col"] == b["origin"]), lambda c: c["text"]))
+        heading = lambda c: F.get(F.filter(b["amounts"], lambda a: a["col"] == c["col"]), F.lit(0))["header"]
+        near = F.transform(F.filter("xs", lambda c: (c["col"] > b["origin"]) & (c["col"] <= b["origin"] + REACH)), lambda c: F.struct(heading(c).alias("header"), c["text"].alias("value")))
+        amounts = F.when(pol.isNotNull(), F.filter(near, lambda a: a["header"].isNotNull() & money(a["value"]).isNotNull()))
+        return let(F.struct(pol.alias("pol"), amounts.alias("amounts")), lambda x: F.when(F.size(x["amounts"]) > 0, x))
+
+    rows = rows.select("doc_id", "sheet", "sheet_name", "row", "said", let(F.col("block"), rate).alias("rate"))
+    rows = rows.withColumn("first", F.min(F.when(F.col("rate").isNotNull(), F.col("sheet"))).over(doc)).filter("sheet = first and rate is not null")
     cell = lambda name, value: F.struct(F.lit(name).alias("header"), value.alias("value"))
     whole = F.concat(
-        F.array(cell("POL", F.col("pol")), cell("POE", F.col("exit")), cell("Carrier", F.col("carrier")), cell("Currency", F.lit("USD")), cell("ValidFrom", F.col("valid.start").cast("string")), cell("ValidTo", F.col("valid.end").cast("string"))),
-        F.transform("amounts", lambda a: F.struct(a["header"].alias("header"), a["value"].alias("value"))),
-        F.array(cell("RouteMode", F.col("mode")), cell("Remarks", F.col("remarks"))),
+        F.array(cell("POL", F.col("rate.pol")), cell("POE", F.col("said.exit")), cell("Carrier", F.col("said.carrier")), cell("Currency", F.lit("USD")), cell("ValidFrom", F.col("said.valid.start").cast("string")), cell("ValidTo", F.col("said.valid.end").cast("string"))),
+        F.transform("rate.amounts", lambda a: F.struct(a["header"].alias("header"), a["value"].alias("value"))),
+        F.array(cell("RouteMode", F.col("said.mode")), cell("Remarks", F.col("said.remarks"))),
     )
     return rows.select("doc_id", "sheet_name", F.col("row").alias("row_number"), F.posexplode(whole).alias("pos", "c")).select("doc_id", "sheet_name", "row_number", "pos", "c.header", "c.value")

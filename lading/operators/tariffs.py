@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lading.functions.text import fold
+from lading.functions.values import let
 
 # How carriers are written, the first that occurs counts.
 CARRIERS = {
@@ -30,7 +31,7 @@ DAYS = r"(?i)(\d{1,2})\s*(?:al|a|[-–—])\s*(\d{1,2})\s*(?:de|/|-)?\s*(" + "|"
 
 
 def _first(text: Column, names: dict[str, str]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for name, p in names.items()])
+    return let(text, lambda t: F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in names.items()]))
 
 
 def tariff_carrier(file_name: Column, text: Column) -> Column:
@@ -52,12 +53,19 @@ def year_of(month: Column, as_of: Column) -> Column:
 def tariff_validity(text: Column, as_of: Column) -> Column:
     """``(start, end)`` of the first ``08 al 14 de agosto [2026]``; null if a day doesn't exist or the end is before the
     start. Null texts give null."""
-    part = lambda g: F.regexp_extract(fold(text), DAYS, g)
     names = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
-    month = F.try_element_at(names, F.lower(F.substring(part(3), 1, 3)))
-    year = F.coalesce(part(4).try_cast("int"), year_of(month, as_of))
-    day = lambda g: F.try_to_timestamp(F.concat(year.cast("string"), F.lit("-"), month.cast("string"), F.lit("-"), part(g)), F.lit("yyyy-M-d")).cast("date")
-    return F.when(day(2) >= day(1), F.struct(day(1).alias("start"), day(2).alias("end")))
+
+    def spanned(first: Column) -> Column:
+        part = lambda g: F.regexp_extract(first, DAYS, g)
+        month = F.try_element_at(names, F.lower(F.substring(part(3), 1, 3)))
+        return let(month, lambda m: let(F.coalesce(part(4).try_cast("int"), year_of(m, as_of)), lambda y: dated(part, m, y)))
+
+    def dated(part, month: Column, year: Column) -> Column:
+        day = lambda g: F.try_to_timestamp(F.concat(year.cast("string"), F.lit("-"), month.cast("string"), F.lit("-"), part(g)), F.lit("yyyy-M-d")).cast("date")
+        return let(F.struct(day(1).alias("start"), day(2).alias("end")), lambda d: F.when(d["end"] >= d["start"], d))
+
+    # the text is folded and searched once; what was found is short
+    return let(F.regexp_substr(fold(text), F.lit(DAYS)), spanned)
 
 
 def route_mode(text: Column) -> Column:

@@ -8,6 +8,7 @@ from lading import mail_queries as mails
 from lading import page_queries as pages
 from lading import queries as rates
 from lading.functions.values import currency, date, money
+from lading.operators import grids
 from lading.operators.selection import keyword_hits, text_table
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,12 @@ def test_keywords_in_letters_that_fold(spark):
     assert "contains" in keyword_hits(F.col("t"))._jc.toString()
     stacked = spark.createDataFrame([("P-o.l:\npod\n\nCarrier\n40HC",), ("pol x\npod\ncarrier\n40hc",), ("a|b|c\nd|e|f",), (None,)], "t string")
     assert [r[0] for r in stacked.select(text_table(F.col("t"))).collect()] == [True, False, True, False]
+
+
+def test_workbooks_are_read_once(spark):
+    query = pages.grid_tariffs(spark, SF)
+    asked = filters(query)
+    assert "regexp" not in asked and "RLIKE" not in asked and "translate" not in asked
+    # orders for the notes of workbooks and for the rows below, the values of both, and the dictionary
+    assert query._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 5
+    assert grids.remarks(F.lit("Diamond Tier"), F.lit("p"), F.col("x"))._jc.toString().count("translate") == 1
